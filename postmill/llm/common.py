@@ -44,3 +44,50 @@ def fold(column: Column | str = "doc_id", folds: int = 5) -> Column:
 def span_of(text: Column) -> Column:
     """Null text counts as empty."""
     return F.coalesce(text, F.lit(""))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> list[tuple[str, int]]:
+    """About ``rows`` (text, label) pairs of each class, ordered by doc_id, at most ``chars`` characters of each.
+
+    Rows are chosen by a hash of doc_id; null labels, ids and texts are not used.  The bound is the caller's
+    parameter, so what reaches the driver does not grow with the tables.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).dropna().filter("y in (0, 1)").distinct()
+    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    take = F.lit(False)
+    for y, n in sizes.items():
+        take = take | ((F.col("y") == y) & (place < min(1.0, rows / n)))
+    chosen = known.filter(take).limit(3 * rows)
+    found = (
+        docs.select("doc_id", F.substring("text", 1, chars).alias("text"))
+        .join(F.broadcast(chosen), "doc_id")  # at most 3 * rows rows
+        .filter("text is not null").collect()
+    )
+    return [(r["text"], r["y"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["y"], r["text"]))]
+
+
+def map_texts(docs: DataFrame, keep: list[str], schema: str, make) -> DataFrame:
+    """Columns ``keep`` of every row, then those of ``schema`` that a scorer computes from the text.
+
+    ``make()`` runs once a task and returns a function from a list of texts (with None) to lists of values,
+    one for each column of ``schema``.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    small_batches(docs.sparkSession)
+    given = docs.select(*keep, F.col("text").alias("_text"))
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema).fields]
+
+    def run(batches):
+        score = make()
+        for batch in batches:
+            columns = score(batch.column("_text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in keep], *[pa.array(v, t) for v, (_, t) in zip(columns, fields, strict=True)]],
+                [*keep, *[n for n, _ in fields]])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_text")
+    return given.mapInArrow(run, f"{kept}, {schema}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, language
+from postmill.llm import exact_dedup, language, quality, toxicity
 from postmill.llm.common import documents, fold
 
 
@@ -35,9 +35,27 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", _held_out(0), "lang_pred", "score", "rejected")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = quality.fit_quality(docs, _labels(spark, sf_dir).filter(fold() != 0))
+    return quality.score_quality(docs, net).select("doc_id", _held_out(0), "score", "predicted")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit_toxicity(docs, _labels(spark, sf_dir).filter(fold() != 0))
+    return toxicity.score_toxicity(docs, model).select("doc_id", _held_out(0), "toxic", "score", "severity", "grade")
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality": op4_quality,
     "op8_language_id": op8_language_id,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
