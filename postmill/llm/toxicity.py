@@ -1,7 +1,7 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
-P(grade <= k) = logistic(threshold_k - w.x): one weight vector serves all thresholds.  x marks which words a
-text has (hashed to ``BUCKETS`` places).  Labels say toxic or not; toxic training rows get grade 1 or 2 by how many
+P(grade <= k) = logistic(threshold_k - w.x): one weight vector serves all thresholds.  x marks which words and
+beginnings of words a text has (hashed to ``BUCKETS`` places).  Labels say toxic or not; toxic training rows get grade 1 or 2 by how many
 words of strong evidence they have, against their median.  The severity of a text is its expected grade.
 """
 
@@ -20,8 +20,12 @@ BUCKETS = 1 << 18
 GRADES = 3
 #: Bounds of the training sample: rows of each class and characters of a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 8000
-#: A feature enters with at least so many training rows; L1 penalty; steps of gradient descent.
-MIN_ROWS, PENALTY, STEPS = 5, 1e-3, 400
+#: Lengths of the beginnings of words that are features besides the words.
+BEGINNINGS = (3, 4, 5, 6, 7)
+#: A feature enters with at least so many training rows, if its toxic share is so many standard errors off the mean.
+MIN_ROWS, MIN_Z = 5, 4.0
+#: L1 penalty; steps of gradient descent.
+PENALTY, STEPS = 1e-4, 1000
 THRESHOLD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -30,8 +34,12 @@ def _bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) & (BUCKETS - 1)
 
 
+def _word_buckets(word: str) -> list[int]:
+    return [_bucket(word), *[_bucket("^" + word[:n]) for n in BEGINNINGS if len(word) >= n]]
+
+
 def _features(text: str | None) -> set[int]:
-    return {_bucket(w) for w in set(_WORD.findall((text or "").lower()))}
+    return {b for w in set(_WORD.findall((text or "").lower())) for b in _word_buckets(w)}
 
 
 def _sigmoid(z):
@@ -43,20 +51,25 @@ class OrdinalModel:
 
     def __init__(self, weights: dict[int, float], thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
-        self._cache: dict[str, tuple[int, float]] = {}
+        self._cache: dict[str, tuple[int, ...]] = {}
 
-    def _known(self, word: str) -> tuple[int, float]:
-        b = _bucket(word)
+    def _known(self, word: str) -> tuple[int, ...]:
         if len(self._cache) > 200_000:
             self._cache.clear()
-        self._cache[word] = found = (b, self.weights.get(b, 0.0))
+        self._cache[word] = found = tuple(b for b in _word_buckets(word) if b in self.weights)
         return found
 
     def grades(self, text: str | None) -> np.ndarray:
         """Probability of each grade."""
         get, new = self._cache.get, self._known
-        hit = {b: w for b, w in (get(x) or new(x) for x in set(_WORD.findall((text or "").lower()))) if w}
-        up = _sigmoid(self.thresholds - sum(hit.values()))
+        hit: set[int] = set()
+        for word in set(_WORD.findall((text or "").lower())):
+            known = get(word)
+            if known is None:
+                known = new(word)
+            if known:
+                hit.update(known)
+        up = _sigmoid(self.thresholds - sum(self.weights[b] for b in sorted(hit)))
         return np.diff(np.concatenate(([0.0], up, [1.0])))
 
     def __getstate__(self):
@@ -73,21 +86,23 @@ def train(sample: list[tuple[str, int]]) -> OrdinalModel:
     flat = np.array([b for r in rows for b in r], np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     count = np.bincount(flat, minlength=BUCKETS)
-    names = np.flatnonzero(count >= MIN_ROWS)
+    base = ys.mean()
+    share = np.bincount(flat, weights=ys[owner], minlength=BUCKETS) / np.maximum(count, 1)
+    z = (share - base) / np.sqrt(base * (1 - base) / np.maximum(count, 1))
+    names = np.flatnonzero((count >= MIN_ROWS) & (np.abs(z) >= MIN_Z))
     dense = np.full(BUCKETS, -1)
     dense[names] = np.arange(len(names))
     use = dense[flat] >= 0
     col, owner = dense[flat][use], owner[use]
     seen_toxic = np.bincount(col, weights=ys[owner], minlength=len(names))
     seen = np.bincount(col, minlength=len(names))
-    base = ys.mean()
     strong = (seen_toxic + 1) / (seen + 2) > base + 0.8 * (1 - base)
     hits = np.bincount(owner, weights=strong[col], minlength=len(rows))
     cut = np.median(hits[ys == 1])
     grade = np.where(ys == 0, 0, np.where(hits > cut, 2, 1))
 
     w, theta = np.zeros(len(names)), np.array([0.0, 1.5])
-    rate, n = 1.0, len(rows)
+    rate, n = 4.0, len(rows)
     for _ in range(STEPS):
         z = np.bincount(owner, weights=w[col], minlength=n)
         up = _sigmoid(theta[None, :] - z[:, None])
