@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, language, quality, toxicity
+from postmill.llm import bpe, exact_dedup, language, quality, toxicity
 from postmill.llm.common import documents, fold
 
 
@@ -13,6 +13,16 @@ def _held_out(remainder: int):
     return F.coalesce(fold() == remainder, F.lit(False)).alias("held_out")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(documents(spark, sf_dir), _tokenizer())
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir)).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -52,6 +62,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
     "op8_language_id": op8_language_id,
