@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, exact_dedup, language, quality, toxicity
+from postmill.llm import bpe, exact_dedup, language, packing, quality, toxicity
 from postmill.llm.common import documents, fold
 
 
@@ -39,6 +39,11 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), _tokenizer()).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit_dictionaries(docs.filter(fold() != 0))
@@ -65,6 +70,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
+    "op6_packing": op6_packing,
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
 }
