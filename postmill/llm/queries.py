@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, exact_dedup, language, packing, quality, toxicity
+from postmill.llm import bpe, exact_dedup, language, packing, quality, secrets, toxicity
 from postmill.llm.common import documents, fold
 
 
@@ -44,6 +44,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(documents(spark, sf_dir)))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit_dictionaries(docs.filter(fold() != 0))
@@ -71,6 +75,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
     "op6_packing": op6_packing,
+    "op7_secrets": op7_secrets,
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
 }
