@@ -13,14 +13,14 @@ def _held_out(remainder: int):
     return F.coalesce(fold() == remainder, F.lit(False)).alias("held_out")
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(documents(spark, sf_dir), _tokenizer())
+    return bpe.encode_documents(documents(spark, sf_dir), tokenizer_path())
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), _tokenizer()).select(
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path()).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -66,7 +66,7 @@ def _looks_random(token: Column) -> Column:
 
 
 def scan(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_spans, all_spans, n_examples for every row of ``docs``.
+    """doc_id, n_assign, n_access, n_hex, base_spans, all_spans, n_examples, text_sha256 for every row of ``docs``.
 
     Spans are array<struct<start, rank, end>> with rank the kind's place in ``KINDS``.  A repository is a document
     (by doc_id), an owner a value of ``owner``; a null owner is an owner of its own.  ``n_examples`` counts the
@@ -77,12 +77,13 @@ def scan(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS) -
     found = saved(
         docs.select(
             "doc_id", F.monotonically_increasing_id().alias("rid"), F.col(owner).alias("owner"),
+            F.sha2(text.cast("binary"), 256).alias("text_sha256"),
             _tagged(assign, "assign").alias("a"), _tagged(_placed(text, ACCESS), "access").alias("k"),
             _tagged(_placed(text, HEX), "hex").alias("h"), _placed(text, CANDIDATE, _looks_random).alias("c"),
         )
         .withColumn("base", F.concat("a", "k", "h"))
         .select(
-            "doc_id", "rid", "owner", F.size("a").cast("long").alias("n_assign"),
+            "doc_id", "rid", "owner", "text_sha256", F.size("a").cast("long").alias("n_assign"),
             F.size("k").cast("long").alias("n_access"), F.size("h").cast("long").alias("n_hex"), "base",
             F.transform("c", lambda x: F.struct(
                 F.xxhash64(x["value"]).alias("hash"), x["start"].alias("start"), x["end"].alias("end"))).alias("c"),
@@ -108,7 +109,7 @@ def scan(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS) -
         .select(
             "doc_id", "n_assign", "n_access", "n_hex", F.col("base").alias("base_spans"),
             F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("all_spans"),
-            F.coalesce("n_examples", F.lit(0)).alias("n_examples"), "rid",
+            F.coalesce("n_examples", F.lit(0)).alias("n_examples"), "text_sha256",
         )
     )
 
@@ -135,3 +136,22 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         .alias("parts")))
     body = F.concat(F.concat_ws("", walked["parts"]), F.substring(text, walked["at"] + 1, F.length(text)))
     return F.when(F.size(spans) > 0, body).otherwise(text)
+
+
+def redact_documents(docs: DataFrame, owner: str = "source") -> DataFrame:
+    """``docs`` with all spans of :func:`scan` replaced in text; every row and column stays, null text stays null.
+
+    Only rows in which some pattern matches take part in the join; the others pass through.
+    """
+    body = span_of(F.col("text"))
+    hit = F.lit(False)
+    for pattern in (ASSIGN, ACCESS, HEX, CANDIDATE):
+        hit = hit | F.regexp_like(body, F.lit(pattern))
+    rows = docs.filter(hit)
+    spans = scan(rows, owner).select(
+        F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s"), F.col("all_spans").alias("_spans"))
+    spans = spans.dropDuplicates(["_d", "_s"])  # repeated rows have equal spans
+    sha = F.sha2(body.cast("binary"), 256)
+    cleaned = rows.join(spans, rows["doc_id"].eqNullSafe(spans["_d"]) & (sha == spans["_s"])).withColumn(
+        "text", redact(F.col("text"), F.col("_spans")))
+    return docs.filter(~hit).unionByName(cleaned.select(*docs.columns))
