@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, exact_dedup, language, packing, quality, secrets, simhash, toxicity
+from postmill.llm import bpe, exact_dedup, imatch, language, packing, quality, secrets, simhash, toxicity
 from postmill.llm.common import documents, fold
 
 
@@ -44,6 +44,10 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path()).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -80,6 +84,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
+    "op5_imatch": op5_imatch,
     "op6_packing": op6_packing,
     "op7_secrets": op7_secrets,
     "op8_language_id": op8_language_id,
