@@ -22,8 +22,8 @@ from postmill.llm.common import map_texts
 #: Fixed value: the characters that the vocabulary's normaliser turns into blanks.
 WHITE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{WHITE}]+")
-#: Entries of the chunk cache of a worker, and words of one trie.
-CACHE, TRIE_WORDS = 700_000, 20_000
+#: Entries of a worker's caches of chunks and of words, words of one trie, characters of texts that are read together.
+CHUNK_CACHE, WORD_CACHE, TRIE_WORDS, GROUP_CHARS = 500_000, 800_000, 20_000, 8_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -66,7 +66,7 @@ class WordBPE:
         steps = spec["pre_tokenizer"]["pretokenizers"] if "pretokenizers" in spec["pre_tokenizer"] else [spec["pre_tokenizer"]]
         self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.symbols = byte_symbols()
+        self.symbol_table = dict(enumerate(byte_symbols()))
         self._fits: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
         self.inner = {t: i for t, i in self.ids.items() if self.whole(i) and not (self.suffix and t.endswith(self.suffix))}
@@ -120,7 +120,7 @@ class WordBPE:
     # -- encoding ------------------------------------------------------------------------------------------
     def encode_words(self, words) -> dict[str, list[int]]:
         """Token ids of each distinct word, given as byte symbols."""
-        words = list(words)
+        words = sorted(words)  # neighbours share prefixes
         out: dict[str, list[int]] = {}
         for start in range(0, len(words), TRIE_WORDS):
             self._walk(words[start:start + TRIE_WORDS], out)
@@ -176,11 +176,16 @@ class WordBPE:
 
     def pieces(self, chunk: str) -> list[str]:
         """The words of a normalised chunk without white space, as byte symbols."""
-        found = self.pattern.findall(chunk)
+        end = chunk[-1]
+        if chunk.isalpha():
+            found = [chunk]
+        elif chunk[:-1].isalpha() and end.isascii() and not end.isalnum():
+            found = [chunk[:-1], end]
+        else:
+            found = self.pattern.findall(chunk)
         if chunk.isascii() and chunk.isprintable():
             return found
-        s = self.symbols
-        return ["".join([s[b] for b in p.encode()]) for p in found]
+        return [p.encode().decode("latin-1").translate(self.symbol_table) for p in found]
 
     def encode_chunks(self, chunks) -> dict[str, list[int]]:
         split = {c: self.pieces(c) for c in chunks}
@@ -226,7 +231,7 @@ def model_of(spec: str) -> WordBPE:
     return _MODELS[key]
 
 
-_CACHES: dict[int, dict[str, tuple[str, str]]] = {}
+_CACHES: dict[int, tuple[dict[str, tuple[str, str]], dict[str, tuple[str, str]]]] = {}
 
 
 def encode_documents(docs: DataFrame, spec_path: str, keep: list[str] | None = None) -> DataFrame:
@@ -240,15 +245,27 @@ def encode_documents(docs: DataFrame, spec_path: str, keep: list[str] | None = N
 
     def make():
         model = model_of(spec.value)
-        cache = _CACHES.setdefault(id(model), {})
+        cache, words = _CACHES.setdefault(id(model), ({}, {}))
+
+        def learn(chunks):
+            if len(cache) > CHUNK_CACHE:
+                cache.clear()
+            if len(words) > WORD_CACHE:
+                words.clear()
+            split = {c: model.pieces(c) for c in chunks.difference(cache)}
+            new = set().union(*split.values()).difference(words)
+            for w, ids in model.encode_words(new).items():
+                words[w] = (" ".join(map(str, ids)), model.decode(ids))
+            for c, ws in split.items():
+                if len(ws) == 1:
+                    cache[c] = words[ws[0]]
+                else:
+                    both = [words[w] for w in ws]
+                    cache[c] = (" ".join([b[0] for b in both]), " ".join([b[1] for b in both]))
 
         def score(texts):
             parts = [[(p if s else split_chunks(p), s) for p, s in model.segments(t or "")] for t in texts]
-            if len(cache) > CACHE:
-                cache.clear()
-            new = set().union(*[p for row in parts for p, s in row if not s]).difference(cache)
-            for c, ids in model.encode_chunks(new).items():
-                cache[c] = (" ".join(map(str, ids)), model.decode(ids))
+            learn(set().union(*[p for row in parts for p, s in row if not s]))
             counts, ids_hash, text_hash = [], [], []
             for row in parts:
                 both = []
@@ -265,4 +282,5 @@ def encode_documents(docs: DataFrame, spec_path: str, keep: list[str] | None = N
 
         return score
 
-    return map_texts(docs, keep or ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_texts(docs, keep or ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", make,
+                     GROUP_CHARS)

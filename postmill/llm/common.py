@@ -67,11 +67,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, c
     return [(r["text"], r["y"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["y"], r["text"]))]
 
 
-def map_texts(docs: DataFrame, keep: list[str], schema: str, make) -> DataFrame:
+def map_texts(docs: DataFrame, keep: list[str], schema: str, make, group_chars: int = 0) -> DataFrame:
     """Columns ``keep`` of every row, then those of ``schema`` that a scorer computes from the text.
 
     ``make()`` runs once a task and returns a function from a list of texts (with None) to lists of values,
     one for each column of ``schema``.
+    Arrow batches are put together until their texts have ``group_chars`` characters.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
@@ -83,11 +84,26 @@ def map_texts(docs: DataFrame, keep: list[str], schema: str, make) -> DataFrame:
 
     def run(batches):
         score = make()
+
+        def scored(held):
+            columns = score([t for _, texts in held for t in texts])
+            at = 0
+            for batch, texts in held:
+                own = [pa.array(v[at:at + len(texts)], t) for v, (_, t) in zip(columns, fields, strict=True)]
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c) for c in keep], *own], [*keep, *[n for n, _ in fields]])
+
+        held, chars = [], 0
         for batch in batches:
-            columns = score(batch.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], *[pa.array(v, t) for v, (_, t) in zip(columns, fields, strict=True)]],
-                [*keep, *[n for n, _ in fields]])
+            texts = batch.column("_text").to_pylist()
+            held.append((batch, texts))
+            chars += sum(len(t) for t in texts if t)
+            if chars >= group_chars:
+                yield from scored(held)
+                held, chars = [], 0
+        if held:
+            yield from scored(held)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_text")
     return given.mapInArrow(run, f"{kept}, {schema}")
