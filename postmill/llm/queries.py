@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, exact_dedup, imatch, language, packing, quality, secrets, simhash, toxicity
+from postmill.llm import bpe, exact_dedup, imatch, katz, language, packing, quality, secrets, simhash, toxicity
 from postmill.llm.common import documents, fold
 
 
@@ -79,6 +79,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", _held_out(0), "toxic", "score", "severity", "grade")
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("train", fold() != 1)
+    found = katz.score_documents(docs)
+    return found.select("doc_id", _held_out(1), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -89,6 +95,7 @@ QUERIES = {
     "op7_secrets": op7_secrets,
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
+    "op10_katz": op10_katz,
 }
 
 ORACLE_SQL = {
