@@ -19,7 +19,7 @@ def strip(col: Column) -> Column:
 
 
 def slug(col: Column, max_length: int = MAX_STEM) -> Column:
-    """Lower-case ASCII slug: ``&`` becomes ``and``, other runs become one dash; ``untitled`` when nothing is left."""
+    """Lower-case ASCII slug: ``&`` becomes ``and``, other runs become one dash; ``untitled`` when nothing is left, and for null."""
     dashed = F.regexp_replace(F.replace(F.lower(strip(col)), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", "-")
     whole = F.coalesce(filled(F.regexp_replace(dashed, "^-+|-+$", "")), F.lit("untitled"))
     return F.coalesce(filled(F.regexp_replace(F.substring(whole, 1, max_length), "-+$", "")), F.lit("untitled"))
