@@ -27,8 +27,8 @@ from postmill.llm.common import partitions, small_batches
 
 #: Counts up to K are discounted.
 K = 5
-#: Tokens of one block, entries of a worker's cache of word hashes.
-BLOCK_TOKENS, CACHE = 2_500_000, 600_000
+#: Tokens of one block.
+BLOCK_TOKENS = 1_000_000
 END = xxhash.xxh64_intdigest(b" ", 42)  # no word holds a blank
 
 
@@ -103,18 +103,21 @@ def _runs(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
 
 
-def block_pieces(tokens: list[np.ndarray], train: list[bool], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, piece) of a block: hashes of each document's tokens with the end last, and whether it is trained on."""
-    sizes = np.array([len(t) for t in tokens])
-    flat = np.concatenate(tokens)
-    first = np.roll(flat, 1)
-    first[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = END
-    words, flat_id = np.unique(flat, return_inverse=True)
-    ctx_id = np.searchsorted(words, first)
-    doc = np.repeat(np.arange(len(tokens), dtype=np.uint32), sizes)
-    key = ctx_id.astype(np.uint64) << np.uint64(32) | flat_id.astype(np.uint64)
+def block_pieces(ids: list[np.ndarray], hashes: np.ndarray, train: list[bool], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, piece) of a block: each document's tokens as places in ``hashes``, the end (place 0) last, and
+    whether it is trained on."""
+    sizes = np.array([len(t) for t in ids])
+    by_hash = np.argsort(hashes)
+    words, rank = hashes[by_hash], np.empty(len(hashes), np.uint64)
+    rank[by_hash] = np.arange(len(hashes), dtype=np.uint64)
+    token = rank[np.concatenate(ids)]
+    key = np.roll(token, 1)
+    key[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = rank[0]
+    key <<= np.uint64(32)
+    key |= token
     order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
+    doc = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)[order]
+    key = key[order]
     starts = _runs(key)
     type_key = key[starts]
     type_n = np.diff(np.append(starts, len(key)))
@@ -130,7 +133,7 @@ def block_pieces(tokens: list[np.ndarray], train: list[bool], buckets: int) -> I
         seconds, second_id = np.unique(type_word[s:e], return_inverse=True)
         yield b, _packed(
             words[type_ctx[s:e][ctx_at]], np.diff(np.append(ctx_at, e - s)), words[seconds], second_id,
-            type_n[s:e], doc[at], np.packbits(flags), np.array([len(tokens)]))
+            type_n[s:e], doc[at], np.packbits(flags), np.array([len(ids)]))
 
 
 class Piece:
@@ -294,38 +297,47 @@ def score_documents(docs: DataFrame, train: str = "train") -> DataFrame:
         from pyspark import TaskContext
 
         task, made = TaskContext.get().partitionId(), 0
-        cache: dict[bytes, int] = {}
         digest = xxhash.xxh64_intdigest
-        ids, tokens, flags, held = [], [], [], 0
+        names, tokens, flags, held = [], [], [], 0
+        vocabulary: dict[bytes, int] = {b" ": 0}
 
         def finish():
             block = task << 24 | made
-            out = [(block % buckets, "meta", block, pickle.dumps((ids, [len(t) for t in tokens]), 5))]
-            out += [(b, "piece", block, data) for b, data in block_pieces(tokens, flags, buckets)]
-            for k in range(0, len(out), 16):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(column) for column in zip(*out[k:k + 16], strict=True)], ["bucket", "kind", "block", "data"])
+            hashes = np.array([digest(w, 42) for w in vocabulary], np.uint64)
+            out = [(block % buckets, "meta", block, pickle.dumps((names, [len(t) for t in tokens]), 5))]
+            for b, data in block_pieces(tokens, hashes, flags, buckets):
+                out.append((b, "piece", block, data))
+                if len(out) == 8:
+                    yield batch_of(out)
+                    out = []
+            if out:
+                yield batch_of(out)
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(column) for column in zip(*rows, strict=True)], ["bucket", "kind", "block", "data"])
 
         for batch in batches:
             for i, t, f in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "train")], strict=True):
                 words = (t or "").encode("utf-8", "replace").lower().split()
-                if len(cache) > CACHE:
-                    cache.clear()
-                for w in set(words).difference(cache):
-                    cache[w] = digest(w, 42)
-                hashes = np.empty(len(words) + 1, np.uint64)
-                hashes[:-1] = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-                hashes[-1] = END
-                ids.append(i)
-                tokens.append(hashes)
+                for w in set(words).difference(vocabulary):
+                    vocabulary[w] = len(vocabulary)
+                ids = np.zeros(len(words) + 1, np.uint32)
+                ids[:-1] = np.fromiter(map(vocabulary.__getitem__, words), np.uint32, len(words))
+                names.append(i)
+                tokens.append(ids)
                 flags.append(f)
-                held += len(hashes)
+                held += len(ids)
                 if held >= BLOCK_TOKENS:
                     yield from finish()
-                    ids, tokens, flags, held, made = [], [], [], 0, made + 1
-        if ids:
+                    names, tokens, flags, held, made = [], [], [], 0, made + 1
+                    vocabulary = {b" ": 0}
+        if names:
             yield from finish()
 
+    rows = f"doc_id {given.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if not given.take(1):
+        return spark.createDataFrame([], rows)
     packed = given.mapInArrow(blocks, "bucket long, kind string, block long, data binary")
     spread = packed.rdd.map(lambda r: (r[0], (r[1], (r[2], bytes(r[3]))))).partitionBy(buckets, _place)
     asked = spread.mapPartitions(_ask(buckets)).partitionBy(buckets, _place)
@@ -335,7 +347,4 @@ def score_documents(docs: DataFrame, train: str = "train") -> DataFrame:
     model = Model(stats)
     answered = spread.union(asked).mapPartitions(_answer).partitionBy(buckets, _place)
     scored = spread.union(answered).mapPartitions(_score(model)).partitionBy(buckets, _place)
-    kind = given.schema["doc_id"].dataType.simpleString()
-    return spark.createDataFrame(
-        scored.mapPartitions(_rows(model.tokens)),
-        f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return spark.createDataFrame(scored.mapPartitions(_rows(model.tokens)), rows)
