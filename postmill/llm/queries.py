@@ -57,6 +57,43 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(documents(spark, sf_dir)))
 
 
+def _places_sql(kind: int, source: str, pattern: str, group: int = 0) -> str:
+    """Rows (doc_id, source, kind, start, stop, value) of the matches: gaps and matches before add up to places."""
+    sizes = "coalesce(list_sum(list_transform({}, lambda z: length(z))), 0)"
+    return f"""SELECT doc_id, source, {kind} AS kind, start, start + length(m[i]) AS stop, g[i] AS value FROM (
+      SELECT *, {sizes.format('s[1:i]')} + {sizes.format('m[1:i-1]')} AS start FROM (
+        SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+          SELECT doc_id, source, regexp_extract_all(x, '{pattern}') AS m, regexp_extract_all(x, '{pattern}', {group}) AS g,
+                 string_split_regex(x, '{pattern}') AS s FROM {source} WHERE regexp_matches(x, '{pattern}'))))"""
+
+
+_QUOTED = secrets.ASSIGN.replace("'", "''")
+_LISTED = "string_agg(['assign', 'access', 'hex', 'owner'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+OP7_SQL = f"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x FROM documents),
+base AS (
+  SELECT * FROM ({_places_sql(0, 't', _QUOTED, 2)}) WHERE length(value) >= 8
+  UNION ALL {_places_sql(1, 't', secrets.ACCESS)}
+  UNION ALL {_places_sql(2, 't', secrets.HEX)}),
+candidates AS (
+  SELECT * FROM ({_places_sql(3, 't', secrets.CANDIDATE)})
+  WHERE regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]')
+    AND len(list_distinct(string_split(value, ''))) >= {secrets.MIN_DISTINCT}),
+verdicts AS (SELECT value, count(DISTINCT coalesce(source, '')) <= {secrets.MAX_OWNERS} AS live FROM candidates GROUP BY 1),
+added AS (
+  SELECT c.* FROM candidates c JOIN verdicts USING (value) WHERE live AND NOT EXISTS (
+    SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c.stop AND b.stop > c.start)),
+per_base AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+         count(*) FILTER (WHERE kind = 2) AS n_hex, {_LISTED} AS listed FROM base GROUP BY 1),
+per_all AS (SELECT doc_id, {_LISTED} AS listed FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY 1),
+copied AS (SELECT doc_id, count(*) AS n FROM candidates JOIN verdicts USING (value) WHERE NOT live GROUP BY 1)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(b.listed, '')) AS base_sha256, coalesce(a.listed, '') AS spans, coalesce(n, 0) AS n_examples
+FROM t LEFT JOIN per_base b USING (doc_id) LEFT JOIN per_all a USING (doc_id) LEFT JOIN copied USING (doc_id)
+"""
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit_dictionaries(docs.filter(fold() != 0))
@@ -100,4 +137,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
+    "op7_secrets": OP7_SQL,
 }
