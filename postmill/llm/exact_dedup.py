@@ -86,9 +86,13 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, all columns, one row of each group."""
     from pyspark.sql import Window
 
-    kept = exact_duplicates(docs, text).filter("kept").select(
-        F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_sha", F.sha2(span_of(F.col(text)).cast("binary"), 256))
-    stay = own.join(kept, own["doc_id"].eqNullSafe(kept["_k"]) & (own["_sha"] == kept["_sha"]), "left_semi")
-    first = Window.partitionBy("doc_id", "_sha").orderBy(F.lit(1))
+    kept = exact_duplicates(docs, text).filter("kept").select(_row_key(F.col("text_sha256")).alias("_key"))
+    own = docs.withColumn("_key", _row_key(F.sha2(span_of(F.col(text)).cast("binary"), 256)))
+    stay = own.join(kept, "_key", "left_semi")
+    first = Window.partitionBy("_key").orderBy(F.lit(1))  # as the join is partitioned: no exchange
     return stay.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+
+
+def _row_key(sha):
+    """One column for a doc_id and the hash of a text."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha)
