@@ -660,6 +660,50 @@ def inherited_rows(spark, sf_dir):
     return found.select("message_db_id", "category_path", "confidence")
 
 
+# -- accounts, taxonomy, attachments ----------------------------------------------------------------------------
+
+@query("""
+SELECT DISTINCT 'source-topics/' || """ + slug_sql("source") + """ AS path, 'source-topics' AS parent_path,
+       upper(""" + slug_sql("source") + """[1:1]) || """ + slug_sql("source") + """[2:] AS display_name FROM documents""")
+def seeded_categories(spark, sf_dir):
+    """Categories of the sources, as if configured, that are not known yet (none is)."""
+    path = text.category_path(F.concat(F.lit("Source Topics//"), F.col("source")))
+    rows = c.table(spark, sf_dir, "documents").select(path.alias("path"), F.lit(None).cast("string").alias("account_key")).distinct()
+    new = taxonomy.seed(rows.limit(0), rows)
+    return new.select("path", text.parent_path(F.col("path")).alias("parent_path"), text.display_name(F.col("path")).alias("display_name"))
+
+
+@query("""
+SELECT doc_id, 'files/' || lang || '/' || CASE WHEN n = 0 THEN name || '.txt' ELSE name || '-' || n || '.txt' END AS stored FROM (
+  SELECT doc_id, lang, source AS name, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS n FROM documents)""")
+def attachment_names(spark, sf_dir):
+    """Collisions of file names in a folder are numbered."""
+    from postmill.sources.sinks import stored_names
+
+    rows = c.table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("doc_id").alias("message_db_id"), F.lit(0).alias("idx"), F.concat(F.lit("files/"), "lang").alias("folder"),
+        text.safe_filename(F.concat("source", F.lit(".txt")), F.lit(0)).alias("name"))
+    return rows.select("doc_id", stored_names(rows, "folder", "name").alias("stored"))
+
+
+@query(with_(MSG) + """
+SELECT account_key, count(*) AS messages, 'Mail in ' || account_key AS display_name FROM messages GROUP BY 1""")
+def account_totals(spark, sf_dir):
+    """Messages joined to their accounts."""
+    rows = c.messages(spark, sf_dir).join(c.accounts(spark, sf_dir), "account_key")
+    return rows.groupBy("account_key", "display_name").agg(F.count("*").alias("messages"))
+
+
+@query("""
+SELECT user_id AS source_id, max(event_id) AS id, arg_max(value > 50, event_id) AS high FROM events
+WHERE event_type IN ('view', 'click') GROUP BY 1""")
+def resume_points(spark, sf_dir):
+    runs = c.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("source_id"), F.col("event_id").alias("id"), (F.col("value") > 50).alias("last_mbox_key"),
+        F.when(F.col("event_type") == "view", "running").when(F.col("event_type") == "click", "interrupted").otherwise("completed").alias("status"))
+    return state.resume_points(runs).select("source_id", "id", F.col("last_mbox_key").alias("high"))
+
+
 # -- streaming and sources -------------------------------------------------------------------------------------
 
 @query("""
@@ -668,3 +712,51 @@ def events_tumbling(spark, sf_dir):
     from postmill.streaming.windows import tumbling_counts
 
     return tumbling_counts(c.table(spark, sf_dir, "events"), "1 hour")
+
+
+@query("""
+SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS events FROM events GROUP BY 1, 2""")
+def events_tumbling_stream(spark, sf_dir):
+    """The same windows from a stream that reads all there is and ends; every update replaces the result."""
+    from postmill.session import scratch
+    from postmill.streaming.windows import tumbling_counts
+
+    table, out = c.table(spark, sf_dir, "events"), scratch(spark, "windows")
+    folder, _, name = table.inputFiles()[0].rpartition("/")  # a stream reads folders: one file of it, or all parts
+    stream = spark.readStream.schema(table.schema).option(
+        "pathGlobFilter", "events.parquet" if name == "events.parquet" else "*.parquet").parquet(folder)
+    (tumbling_counts(stream, "1 hour").writeStream.outputMode("complete")
+     .foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).option("checkpointLocation", out + "-state")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(out)
+
+
+def _mailbox(spark, sf_dir):
+    from postmill.session import scratch
+    from postmill.sources.mbox import write_mbox
+
+    rows = c.messages(spark, sf_dir).select(
+        "message_id", "sender", "recipients", "subject", "body_text",
+        F.when(F.col("id") % 17 != 0, "Mon, 01 Jan 2024 10:00:00 +0100").alias("date_header"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("<"), "thread_key", F.lit("> <other@x>"))).alias("references"))
+    folder = scratch(spark, "mailbox")
+    write_mbox(rows, folder)
+    return folder
+
+
+@query(with_(MSG) + """,
+bodies AS (SELECT *, regexp_replace(chr(10) || body_text, '\\nFrom ', chr(10) || '>From ', 'g')[2:] || chr(10) AS body FROM messages)
+SELECT '<' || message_id || '>' AS message_id, CASE WHEN id % 3 = 0 THEN '<' || thread_key || '>' ELSE '<' || message_id || '>' END AS thread_key,
+       trim(subject) AS subject, sender, array_to_string(recipients, ',') AS recipients,
+       CASE WHEN id % 17 <> 0 THEN '2024-01-01T10:00:00+01:00' END AS date_utc, sha256(body) AS body_hash, length(body) AS body_chars,
+       len(regexp_extract_all(body, '\\S+')) AS body_word_count FROM bodies""")
+def mbox_ingest(spark, sf_dir):
+    """Messages written as mailbox files, read back and parsed."""
+    from postmill.functions.mime import parse_message, record_columns
+    from postmill.sources.mbox import read_mbox
+
+    rows = read_mbox(spark, _mailbox(spark, sf_dir)).withColumn("m", parse_message("raw")).select(
+        *[v.alias(k) for k, v in record_columns("m", 50_000).items()])
+    return rows.select("message_id", "thread_key", "subject", "sender", F.array_join("recipients", ",").alias("recipients"),
+                       "date_utc", "body_hash", F.col("body_chars").cast("long").alias("body_chars"),
+                       F.col("body_word_count").cast("long").alias("body_word_count"))

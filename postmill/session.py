@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +28,13 @@ def build_session(app: str = "postmill", cores: str | int | None = None, shuffle
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared folder of spark.checkpoint.dir; a temporary one on a local master."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ there is no table of contents to build on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.operators.threads import ranked
@@ -39,6 +39,25 @@ def read_mbox(spark: SparkSession, paths: str | list[str], after: int | None = N
     return out if after is None else out.filter(F.col("mbox_key") > after)
 
 
+def write_mbox(messages: DataFrame, path: str) -> None:
+    """Write message_id, sender, recipients, subject, date_header, body_text as mailbox files of one folder.
+
+    Subjects go out as encoded words, bodies as 8-bit UTF-8; lines that begin with ``From `` get a ``>``.
+    """
+    def line(name: str, value) -> Column:
+        return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value))
+
+    subject = F.concat(F.lit("=?utf-8?b?"), F.base64(F.encode("subject", "utf-8")), F.lit("?="))
+    body = F.regexp_replace(F.coalesce("body_text", F.lit("")), "(?m)^From ", ">From ")
+    text = F.concat_ws(
+        "\n", F.lit("From postmill Thu Jan  1 00:00:00 1970"), line("From", F.col("sender")),
+        line("To", F.array_join("recipients", ", ")), line("Subject", F.regexp_replace(subject, "[\r\n]", "")),
+        line("Date", F.col("date_header")), line("Message-ID", F.concat(F.lit("<"), "message_id", F.lit(">"))),
+        line("References", F.col("references")), F.lit("Content-Type: text/plain; charset=utf-8"),
+        F.lit("Content-Transfer-Encoding: 8bit"), F.lit(""), body, F.lit(""))
+    messages.select(text.alias("value")).write.mode("overwrite").text(path)
+
+
 def file_facts(spark: SparkSession, path: str) -> DataFrame:
     """path, size, modified and sha256 of files."""
     return spark.read.format("binaryFile").load(path).select(
