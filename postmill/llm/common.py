@@ -23,11 +23,15 @@ def small_batches(spark: SparkSession) -> None:
 def saved(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared checkpoint folder.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset, as in tests, a local one is used.
+    The cluster names it in spark.checkpoint.dir; only on a local master where that is unset, as in tests, a
+    temporary one is used.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
