@@ -225,3 +225,15 @@ def test_limits_and_config(tmp_path):
     assert [model_for(models, *a) for a in (("r",), ("q",), ("r", "cli"))] == ["m", "d", "cli"]
     with pytest.raises(ConfigError):
         model_for({}, "r")
+
+
+def test_sql_functions(spark):
+    from postmill.functions import sql
+
+    assert "slugify" in sql.register(spark)
+    rows = ["A & B", " x ", "", "A/B\\ c//", "<p>a<br>b</p>\n\n\n\n<style>x</style> c", "a@b.org 555-867-5309 123-45-6789", "2024-01-02", None]
+    full = Security("raw", True, True, True, True, True, True)
+    pairs = {"slugify": text.slug(X), "category_path": text.category_path(X), "html_to_text": text.html_to_text(X),
+             "scrub_text": privacy.scrub(X, full), "date_band": text.date_band(X)}
+    for name, column in pairs.items():
+        assert values(spark, F.expr(f"{name}(x)"), rows) == values(spark, column, rows), name
