@@ -11,6 +11,7 @@ to windows and offsets.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -22,7 +23,7 @@ from postmill.llm.common import partitions, saved, small_batches
 
 WINDOW, END_ID = 2048, 1
 #: Entries of a worker's cache of encoded chunks (white-space separated parts of texts).
-CACHE = 900_000
+CACHE = 1_500_000
 
 
 class CapacityTree:
@@ -93,11 +94,53 @@ def best_fit_decreasing(sizes: dict[int, int], window: int = WINDOW) -> list[tup
     return plan
 
 
+def _encoded(lib, final: np.ndarray, words: list[str]) -> list[bytes]:
+    """Ids of words of letters.  Many are encoded as one text: each ends with the next token that ends a word."""
+    out = []
+    for k in range(0, len(words), 2000):
+        part = words[k:k + 2000]
+        e = lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+        ids = np.array(e.ids, "<u4")
+        ends = (4 * (np.flatnonzero(final[ids]) + 1)).tolist()
+        if len(ends) != len(part):
+            raise ValueError("the vocabulary cuts words of letters")
+        data = ids.tobytes()
+        out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    return out
+
+
+def _learn(lib, final: np.ndarray, cache: dict[str, bytes], plain: set[str], rare: set[str]) -> None:
+    """Encode chunks into the cache.  Letters before one mark are a word and a mark for the vocabulary's pattern,
+    so such chunks are put together from both; not so ``rare`` ones, of texts with characters outside of the old
+    blocks of Unicode, where libraries may differ on what is a letter.
+    """
+    if len(cache) > CACHE:
+        cache.clear()
+    words, others, double = set(), rare, []
+    for c in plain.difference(cache):
+        if c.isalpha():
+            words.add(c)
+        elif c[:-1].isalpha() and c[-1].isascii() and not c[-1].isalnum():
+            double.append(c)
+            words.add(c[:-1])
+            others.add(c[-1])
+        else:
+            others.add(c)
+    new = list(words.difference(cache))
+    cache.update(zip(new, _encoded(lib, final, new), strict=True))
+    new = list(others.difference(cache))
+    for c, e in zip(new, lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        cache[c] = np.array(e.ids, "<u4").tobytes()
+    for c in double:
+        cache[c] = cache[c[:-1]] + cache[c[-1]]
+
+
+_RARE = re.compile("[\u0250-\U0010ffff]")
 _TOKENIZERS: dict[int, tuple] = {}
 
 
 def _tokenizer(spec: str):
-    """The library's tokenizer and a cache of encoded chunks; kept in the worker."""
+    """The library's tokenizer, which tokens end a word, and a cache of encoded chunks; kept in the worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -106,7 +149,10 @@ def _tokenizer(spec: str):
         lib = Tokenizer.from_str(spec)
         lib.no_padding()
         lib.no_truncation()
-        _TOKENIZERS[key] = (lib, {})
+        vocabulary = lib.get_vocab()
+        final = np.zeros(max(vocabulary.values()) + 1, bool)
+        final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        _TOKENIZERS[key] = (lib, final, {})
     return _TOKENIZERS[key]
 
 
@@ -120,16 +166,15 @@ def token_pieces(docs: DataFrame, spec_path: str, window: int = WINDOW, end_id:
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        lib, cache = _tokenizer(spec.value)
+        lib, final, cache = _tokenizer(spec.value)
         # a chunk between blanks is encoded alone; texts that may hold special tokens are encoded whole
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            chunks = [None if "<|" in t else _CHUNK.findall(t) for t in texts]
-            if len(cache) > CACHE:
-                cache.clear()
-            new = list(set().union(*[c for c in chunks if c]).difference(cache))
-            for c, e in zip(new, lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, "<u4").tobytes()
+            # lower case makes no difference to the vocabulary, but fewer chunks
+            chunks = [None if "<|" in t else _CHUNK.findall(t.lower() if t.isascii() else t) for t in texts]
+            odd = [not t.isascii() and _RARE.search(t) is not None for t in texts]
+            _learn(lib, final, cache, set().union(*[c for c, o in zip(chunks, odd, strict=True) if c and not o]),
+                   set().union(*[c for c, o in zip(chunks, odd, strict=True) if c and o]))
             out: list[list] = [[], [], [], [], []]
             for i, t, c in zip(batch.column("doc_id").to_pylist(), texts, chunks, strict=True):
                 if c is None:
