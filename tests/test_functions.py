@@ -237,3 +237,15 @@ def test_sql_functions(spark):
              "scrub_text": privacy.scrub(X, full), "date_band": text.date_band(X)}
     for name, column in pairs.items():
         assert values(spark, F.expr(f"{name}(x)"), rows) == values(spark, column, rows), name
+
+
+def test_sample_configuration():
+    from pathlib import Path
+
+    from postmill.archive import rules_of
+
+    config = load_config(str(Path(__file__).parents[1] / "config/postmill.yaml"))
+    limits = resolve_limits(config)
+    assert (limits.profile_name, limits.budget, limits.max_words_per_source) == ("ultra_safe", 500, 350_000)
+    assert {n: resolve_limits(config, n).budget for n in ("standard", "plus", "pro", "ultra")} == {"standard": 40, "plus": 80, "pro": 250, "ultra": 525}
+    assert check_limits(limits) == [] and [r.name for r in rules_of(config)] == ["newsletters", "bills"]
