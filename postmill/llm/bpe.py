@@ -23,7 +23,7 @@ from postmill.llm.common import map_texts
 WHITE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{WHITE}]+")
 #: Entries of a worker's caches of chunks and of words, words of one trie, characters of texts that are read together.
-CHUNK_CACHE, WORD_CACHE, TRIE_WORDS, GROUP_CHARS = 500_000, 800_000, 20_000, 8_000_000
+CHUNK_CACHE, WORD_CACHE, TRIE_WORDS, GROUP_CHARS = 900_000, 1_200_000, 40_000, 8_000_000
 
 
 def byte_symbols() -> list[str]:
