@@ -71,8 +71,9 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_bits: int = 64) ->
     kept.  An empty table gives an empty result; other columns of ``docs`` are not read.
     """
     recipes = chunk_recipes(docs, text, id_bits)
-    best = recipes.groupBy("recipe").agg(
-        F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size"))
+    # written, so that the join has plain exchanges on both sides and can split a large group of copies
+    best = saved(recipes.groupBy("recipe").agg(
+        F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size")))
     return (
         recipes.join(best, "recipe")
         .select(
