@@ -1,7 +1,7 @@
 """Connected components of a graph of longs by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and a join on the vertex, so no neighbourhood is gathered in one place and large
-ones can be split.  The number of rounds grows with the logarithm of the graph's size.
+Each step is a grouped minimum and a join on the vertex.  The minima are written first, so that the join has plain
+exchanges on both sides and a vertex with very many neighbours can be split; no neighbourhood is gathered.  The number of rounds grows with the logarithm of the graph's size.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ ROUNDS = 100
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = saved(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
