@@ -9,6 +9,7 @@ border comes due before those that built them.  Encoding a word is then a walk b
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -266,6 +267,7 @@ def encode_documents(docs: DataFrame, spec_path: str, keep: list[str] | None = N
         def score(texts):
             parts = [[(p if s else split_chunks(p), s) for p, s in model.segments(t or "")] for t in texts]
             learn(set().union(*[p for row in parts for p, s in row if not s]))
+            gc.freeze()  # what the caches hold has no cycles; collections need not walk through it
             counts, ids_hash, text_hash = [], [], []
             for row in parts:
                 both = []
