@@ -10,6 +10,7 @@ to windows and offsets.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -175,6 +176,7 @@ def token_pieces(docs: DataFrame, spec_path: str, window: int = WINDOW, end_id:
             odd = [not t.isascii() and _RARE.search(t) is not None for t in texts]
             _learn(lib, final, cache, set().union(*[c for c, o in zip(chunks, odd, strict=True) if c and not o]),
                    set().union(*[c for c, o in zip(chunks, odd, strict=True) if c and o]))
+            gc.freeze()  # what the cache holds has no cycles; collections need not walk through it
             out: list[list] = [[], [], [], [], []]
             for i, t, c in zip(batch.column("doc_id").to_pylist(), texts, chunks, strict=True):
                 if c is None:
