@@ -21,6 +21,7 @@ from postmill.functions.text import (
 )
 from postmill.limits import PackLimits
 from postmill.operators.threads import day_of, ranked
+from postmill.session import saved
 
 GROUP = ["account_key", "category", "band"]
 #: Rows of a group that one task packs.
@@ -103,11 +104,12 @@ def assign_packs(rows: DataFrame, limits: PackLimits, chunk: int = CHUNK) -> Dat
     reach = min(limits.max_messages_per_source, chunk)
     order = [F.col("_source"), F.col("category_path"), F.col("date_utc").asc_nulls_last(), F.col("id")]
     part = F.struct("_source", "category_path", day_of().alias("day"))
-    narrow = rows.select("_source", "id", "category_path", "date_utc", *GROUP, "chunk_words", "chunk_bytes")
+    # rendering and redaction run once, for these narrow rows, however often they are read below
+    narrow = saved(rows.select("_source", "id", "category_path", "date_utc", *GROUP, "chunk_words", "chunk_bytes"))
     at = F.col("_rank") - 1
-    placed = ranked(narrow, GROUP, order, part).select(
+    placed = saved(ranked(narrow, GROUP, order, part).select(
         "_source", "id", "category_path", *GROUP, "chunk_words", "chunk_bytes", at.alias("at"),
-        F.floor(at / chunk).alias("part"))
+        F.floor(at / chunk).alias("part")))
     near = (F.col("part") > 0) & (F.col("at") % chunk < reach)
     dealt = placed.withColumn("task", F.explode(F.when(
         near, F.array("part", F.col("part") - 1)).otherwise(F.array("part"))))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "postmill", cores: str | int | None = None, shuffle_partitions: int = 8,
@@ -38,3 +38,11 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(rows: DataFrame) -> DataFrame:
+    """Cut lineage by a checkpoint in the shared folder that :func:`scratch` also uses."""
+    sc = rows.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(scratch(rows.sparkSession, "checkpoints"))
+    return rows.checkpoint()
