@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -197,8 +195,3 @@ def pack_files(stats: DataFrame, out_dir: str) -> DataFrame:
     name = pack_filename(F.col("category"), F.col("band"), F.col("pack"))
     folder = category_directory(F.concat_ws("/", F.lit(out_dir), "account_key"), F.col("category"), F.col("band"))
     return stats.withColumn("source_file", name).withColumn("source_path", F.concat_ws("/", folder, "source_file"))
-
-
-def iterate(rows: DataFrame) -> Iterator:
-    """Rows one partition at a time on the driver."""
-    return rows.toLocalIterator(prefetchPartitions=False)
