@@ -1,0 +1,151 @@
+"""Near-duplicates by word shingles: MinHash bands find candidates, the shingle sets themselves verify them.
+
+A text is the set of the 64-bit hashes of its ``SHINGLE``-word shingles.  Its MinHash signature is cut into ``BANDS``
+bands of ``BAND`` values, and sets that share a band are candidates: at the least similarity of 0.8 a pair is found
+with probability 1 - (1 - 0.8^5)^20 = 0.9996.  Candidates are verified by the Jaccard similarity of their sets.
+First each bucket's members are compared with one of them, which joins large groups of near copies at a cost
+that grows with the members; then all pairs of a bucket that are still in different components are compared.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from postmill.llm.common import map_texts, saved, span_of
+from postmill.llm.components import connected_components
+
+SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
+BANDS, BAND = 20, 5
+#: Rounds of comparisons with one member of the bucket before all remaining pairs are compared.
+PIVOT_ROUNDS = 1
+#: Of one bit of each of the 100 signature values, a pair at ``SIMILARITY`` differs in 10 (standard deviation 3).
+MAX_BITS = 25
+
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+PART = 4096
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes.  Words are those of SimHash; a text of fewer words is one shingle, of none is empty."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    if len(words) < shingle:
+        return np.array([digest(join(words), SEED)], np.uint64)
+    return np.unique(np.array([digest(join(s), SEED) for s in zip(*[words[k:] for k in range(shingle)])], np.uint64))
+
+
+def sketch(text: str | None) -> tuple[int, int, list[int], list[int]]:
+    """(identifier of the set, its size, a hash for each band, two longs of signature bits); zeros without words."""
+    own = shingles(text)
+    if not len(own):
+        return 0, 0, [], [0, 0]
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(own), PART):
+        np.minimum(least, (own[start:start + PART, None] * _FACTORS).min(axis=0), out=least)
+    bands = [_signed(xxhash.xxh64_intdigest(least[b * BAND:(b + 1) * BAND].tobytes(), b)) for b in range(BANDS)]
+    bits = np.zeros(128, np.uint8)
+    bits[:BANDS * BAND] = (least * _MIX) >> np.uint64(63)
+    return _signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), len(own), bands, np.packbits(bits).view("<i8").tolist()
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def row_key() -> Column:
+    """One column for a doc_id and its text: rows that are equal in both have equal keys."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+                       F.sha2(span_of(F.col("text")).cast("binary"), 256))
+
+
+def _shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, shingles) for the rows (node, _key), which name one text of each set."""
+    texts = docs.select(row_key().alias("_key"), "text").join(rows, "_key").select("node", "text")
+    found = map_texts(texts, ["node"], "shingles array<long>",
+                      lambda: lambda batch: [[shingles(t).view(np.int64) for t in batch]])
+    return saved(found.dropDuplicates(["node"]))
+
+
+def _may_link(a: str, b: str, similarity: float) -> Column:
+    """What a pair of at least that similarity fulfils: by size always, by signature bits but for some in a million."""
+    n = F.least(f"{a}.n", f"{b}.n") >= F.greatest(f"{a}.n", f"{b}.n") * F.lit(similarity)
+    far = [F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(2)]
+    return n & (far[0] + far[1] <= MAX_BITS)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough."""
+    both = (
+        pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+        .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v"))
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.filter(shared >= (F.size("a") + F.size("b") - shared) * F.lit(similarity)).select("u", "v")
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return saved(found.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct())
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, _key and group_id of every row of ``docs``: equal for rows that links at ``similarity`` connect.
+
+    Null text counts as empty; texts without words are one group.  Repeated rows give repeated results; an empty
+    table gives an empty one.
+    """
+    marked = saved(map_texts(
+        docs.select("doc_id", row_key().alias("_key"), "text"), ["doc_id", "_key"],
+        "node long, n long, bands array<long>, bits array<long>",
+        lambda: lambda texts: list(zip(*map(sketch, texts))) or [[]] * 4))
+    nodes = marked.groupBy("node").agg(F.min("_key").alias("_key"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+                                       F.first("bits").alias("bits"))
+    dealt = saved(nodes.select(F.struct("node", "n", "bits").alias("x"), "_key", F.explode("bands").alias("bucket")))
+    shared = saved(dealt.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket"))
+    members = saved(dealt.join(shared, "bucket"))
+    sets = _shingle_sets(docs, members.select(F.col("x.node").alias("node"), "_key").distinct())
+    own = F.col("x.node")
+    now, linked, components = members.select("bucket", "x", own.alias("root")), None, None
+    for turn in range(PIVOT_ROUNDS + 1):
+        if turn:
+            now = saved(members.join(components, own == F.col("node"), "left").select(
+                "bucket", "x", F.coalesce("root", own).alias("root")))
+        if turn < PIVOT_ROUNDS:
+            one = F.struct(F.xxhash64("bucket", "x.node", F.lit(turn)), "x", "root")
+            pivots = saved(now.groupBy("bucket").agg(F.min(one).alias("p")).select(
+                "bucket", F.col("p.x").alias("b"), F.col("p.root").alias("other")))
+            pairs = _pairs(now.withColumnRenamed("x", "a").join(pivots, "bucket").filter(
+                (F.col("root") != F.col("other")) & _may_link("a", "b", similarity)))
+        else:
+            several = saved(now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter(
+                "lo < hi").select("bucket"))
+            rest = now.join(several, "bucket")
+            roots = saved(rest.select("bucket", "root").distinct())
+            facing = roots.join(roots.withColumnRenamed("root", "other"), "bucket").filter("root < other")
+            pairs = _pairs(
+                facing.join(rest.withColumnRenamed("x", "a"), ["bucket", "root"])
+                .join(now.select("bucket", F.col("x").alias("b"), F.col("root").alias("other")), ["bucket", "other"])
+                .filter(_may_link("a", "b", similarity)))
+        found = _verified(pairs, sets, similarity)
+        linked = saved(found if linked is None else linked.unionByName(found))
+        components = connected_components(linked)
+    return marked.join(components, "node", "left").select("doc_id", "_key", F.coalesce("root", "node").alias("group_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Exactly one row of each group of :func:`near_groups`, with all columns.
+
+    It is the one with the smallest doc_id, a null one being larger than any other, then with the smallest hash of
+    its text; of rows that are equal in both, any.
+    """
+    from pyspark.sql import Window
+
+    kept = near_groups(docs, similarity).groupBy("group_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("best")).select("best._key")
+    stay = docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi")
+    first = Window.partitionBy("_key").orderBy(F.lit(1))  # as the join is partitioned: no exchange
+    return stay.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
