@@ -1,8 +1,9 @@
 """I-Match document fingerprints (DataFrame functions only).
 
-Document frequencies of all terms are counted over the corpus.  The lexicon holds the terms within a band of inverse
+Document frequencies of all terms are counted over the distinct texts of the corpus.  The lexicon holds the terms within a band of inverse
 document frequency; a text keeps its distinct lexicon terms, sorts them, and hashes those of several randomised
 subsets of the lexicon.  Subsets come at several rates, so short and long texts both have slots with few terms.
+A text with fewer than ``MIN_TERMS`` lexicon terms is fingerprinted by subsets of all its terms instead.
 Terms are counted by their 64-bit hash and stand in fingerprints by its upper half.
 """
 
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from postmill.llm.common import partitions, saved, span_of
 
-#: The lexicon: terms in at least ``MIN_SHARE`` and at most ``MAX_SHARE`` of the documents, and in ``MIN_DOCS``.
+#: The lexicon: terms in at least ``MIN_SHARE`` and at most ``MAX_SHARE`` of the distinct texts, and in ``MIN_DOCS``.
 MIN_SHARE, MAX_SHARE, MIN_DOCS = 0.005, 0.02, 2
+#: With fewer lexicon terms a text is fingerprinted by all its terms.
+MIN_TERMS = 4
 #: Slots: the whole lexicon, then for each of ``REPEATS`` hashes the subsets at rates 2^-r for r in ``RATES``.
 RATES, REPEATS, BITS = range(1, 9), 3, 20
 SLOTS = 1 + len(RATES) * REPEATS
@@ -31,30 +34,46 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
-    """(term): hashes of the terms whose document frequency lies in the band."""
-    total = docs.count()
-    counted = docs.select(F.explode(terms(span_of(F.col("text")))).alias("term")).groupBy("term").agg(
-        F.count("*").alias("df"))
-    return saved(counted.filter(F.col("df").between(max(MIN_DOCS, min_share * total), max_share * total)).select("term"))
+    """(term): hashes of the terms whose document frequency lies in the band.  Copies of a text count once.
+
+    In a small table the band holds the terms of ``MIN_DOCS`` texts at least.
+    """
+    body = span_of(F.col("text"))
+    each = docs.select(F.xxhash64(body).alias("text_key"), terms(body).alias("terms")).groupBy("text_key").agg(
+        F.first("terms").alias("terms"))
+    total = docs.select(F.xxhash64(body)).distinct().count()
+    counted = each.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    least = max(MIN_DOCS, min_share * total)
+    return saved(counted.filter(F.col("df").between(least, max(MIN_DOCS, max_share * total))).select("term"))
 
 
-def slots_of(kept: Column, whole: Column) -> Column:
+def slots_of(kept: Column, wide: Column) -> Column:
     """array<int> of SLOTS hashes from the distinct lexicon terms (array<int>) of a text; 0 where a subset is empty.
 
-    Terms are sorted before they are hashed.  Texts without lexicon terms get ``whole``, the hash of all their
-    terms, in every slot.
+    Terms are sorted before they are hashed.  Texts with fewer than ``MIN_TERMS`` lexicon terms get ``wide``.
     """
+    return F.when(F.size(kept) >= MIN_TERMS, _hashed(kept, REPEATS)).otherwise(wide)
+
+
+def wide_slots(found: Column) -> Column:
+    """array<int> of SLOTS hashes from all distinct terms of a text: the subsets of one repeat stand in for all."""
+    slots = _hashed(F.transform(found, short), 1)
+    rest = F.slice(slots, 2, len(RATES))
+    return F.concat(F.slice(slots, 1, 1), *[rest] * REPEATS)
+
+
+def _hashed(kept: Column, repeats: int) -> Column:
+    """Hashes of the whole set and of its subsets at all rates for each repeat."""
     marked = F.transform(F.array_sort(F.array_distinct(kept)), lambda t: F.struct(
         t.alias("term"), F.xxhash64(t).alias("h")))
 
     def chosen(repeat: int, rate: int):
         return lambda t: F.shiftrightunsigned(t["h"], BITS * repeat).bitwiseAND(F.lit((1 << BITS) - 1)) < (1 << BITS >> rate)
 
-    subsets = [marked, *[F.filter(marked, chosen(q, r)) for q in range(REPEATS) for r in RATES]]
+    subsets = [marked, *[F.filter(marked, chosen(q, r)) for q in range(repeats) for r in RATES]]
     empty = F.xxhash64(F.array().cast("array<struct<term:int,h:bigint>>"))
-    slots = F.transform(F.transform(F.array(*subsets), lambda s: F.xxhash64(s)), lambda h: F.when(
+    return F.transform(F.transform(F.array(*subsets), lambda s: F.xxhash64(s)), lambda h: F.when(
         h == empty, F.lit(0)).otherwise(short(h)))
-    return F.when(F.size(kept) > 0, slots).otherwise(F.array_repeat(whole, SLOTS))
 
 
 def short(h: Column) -> Column:
@@ -119,8 +138,8 @@ def edited(text: Column, other: Column) -> Column:
 def fingerprint_documents(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    Null text counts as empty.  Equal texts have equal fingerprints; texts without a lexicon term are compared by
-    all their terms.  The edit and the next document are those of :func:`with_next`.  In a table of one row the
+    Null text counts as empty.  Equal texts have equal fingerprints; texts with fewer than
+    ``MIN_TERMS`` lexicon terms are compared by subsets of all their terms.  The edit and the next document are those of :func:`with_next`.  In a table of one row the
     next document is the row itself.
     """
     words = lexicon(docs, min_share, max_share)
@@ -132,7 +151,7 @@ def fingerprint_documents(docs: DataFrame, min_share: float = MIN_SHARE, max_sha
         "rid": F.monotonically_increasing_id(),
         "n_chars": F.length("text").cast("long"), "text_key": F.xxhash64("text"), "next_key": F.xxhash64(following),
         "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256),
-        "own_whole": short(F.xxhash64(F.array_sort("own"))), "new_whole": short(F.xxhash64(F.array_sort("new"))),
+        "own_wide": wide_slots(F.col("own")), "new_wide": wide_slots(F.col("new")),
         "own_set": F.struct(F.lit(0).alias("which"), F.col("own").alias("terms")),
         "new_set": F.struct(F.lit(1).alias("which"), F.col("new").alias("terms")),
     }
@@ -152,14 +171,22 @@ def fingerprint_documents(docs: DataFrame, min_share: float = MIN_SHARE, max_sha
 
     grouped = kept.groupBy("rid").agg(F.first("row", ignorenulls=True).alias("row"), of(0).alias("own"), of(1).alias("new"))
     marked = saved(grouped.select(
-        "row.*", slots_of(F.col("own"), F.col("row.own_whole")).alias("own_slots"),
-        slots_of(F.col("new"), F.col("row.new_whole")).alias("new_slots")))
+        "row.*", (F.size("own") < MIN_TERMS).alias("own_few"), (F.size("new") < MIN_TERMS).alias("new_few"),
+        slots_of(F.col("own"), F.col("row.own_wide")).alias("own_slots"),
+        slots_of(F.col("new"), F.col("row.new_wide")).alias("new_slots")))
     others = marked.groupBy(F.col("doc_id").alias("next_id"), F.col("text_key").alias("next_key")).agg(
-        F.first("own_slots").alias("next_slots"))
+        F.first("own_slots").alias("next_slots"), F.first("own_wide").alias("next_wide"),
+        F.first("own_few").alias("next_few"))
+
+    def compared(other: str) -> Column:  # where one of the two has few lexicon terms, by all terms of both
+        few = F.col("own_few") | F.col(f"{other}_few")
+        return F.when(few, likeness(F.col("own_wide"), F.col(f"{other}_wide"))).otherwise(
+            likeness(F.col("own_slots"), F.col(f"{other}_slots")))
+
     return marked.join(
         others, marked["next_id"].eqNullSafe(others["next_id"]) & (marked["next_key"] == others["next_key"]), "left",
     ).select(
         "doc_id", "n_chars", "edited_sha256", digest(F.col("own_slots")).alias("fingerprint"),
         digest(F.col("new_slots")).alias("edited_fingerprint"),
-        likeness(F.col("own_slots"), F.col("new_slots")).cast("double").alias("near_edited"),
-        F.coalesce(likeness(F.col("own_slots"), F.col("next_slots")), F.lit(0.0)).cast("double").alias("near_next"))
+        compared("new").cast("double").alias("near_edited"),
+        F.coalesce(compared("next"), F.lit(0.0)).cast("double").alias("near_next"))

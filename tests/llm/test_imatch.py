@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from postmill.llm.imatch import fingerprint_documents, likeness, with_next
+from postmill.llm.imatch import fingerprint_documents, lexicon, likeness, with_next
 
 
 def data(n, seed=1):
@@ -58,3 +58,20 @@ def test_likeness(spark):
     row = spark.range(1).selectExpr("array(1,2,0,0) a", "array(1,3,0,4) b", "array(0,0,0,0) z")
     a, b, z = (row[c] for c in "abz")
     assert row.select(likeness(a, b), likeness(a, a), likeness(z, z), likeness(a, z)).first()[:] == (1 / 3, 1.0, 1.0, 0.0)
+
+
+def test_copies_and_few_terms(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(6000)]
+    plain = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(400)]
+    rare = [" ".join(f"r{k}x{i}" for i in range(60)) for k in range(20)]  # no term of another text
+    texts = plain + plain[:10] * 40 + rare
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in fingerprint_documents(docs).collect()}
+    for group in (plain[:10], rare):
+        rows = [out[i] for i, t in enumerate(texts) if t in group and t != texts[(i + 1) % len(texts)]]
+        assert sum(r.near_edited for r in rows) > max(0.03 * len(rows), 4 * sum(r.near_next for r in rows))
+        assert len({r.fingerprint for r in rows}) == len(group)
+    small = spark.createDataFrame([(k, f"a b c d e own{k}" if k < 2 else f"only{k}") for k in range(20)], "doc_id long, text string")
+    assert lexicon(small).count() == 5
