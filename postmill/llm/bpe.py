@@ -23,8 +23,11 @@ from postmill.llm.common import map_texts
 #: Fixed value: the characters that the vocabulary's normaliser turns into blanks.
 WHITE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{WHITE}]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split cuts here, the vocabulary does not
 #: Entries of a worker's caches of chunks and of words, words of one trie, characters of texts that are read together.
 CHUNK_CACHE, WORD_CACHE, TRIE_WORDS, GROUP_CHARS = 900_000, 1_200_000, 40_000, 8_000_000
+#: Longer chunks and words are not kept, so the caches are bounded in bytes too.
+KEEP_CHARS = 64
 
 
 def byte_symbols() -> list[str]:
@@ -214,11 +217,16 @@ class WordBPE:
         return " ".join([self.names[i] for i in ids])
 
 
+def cut_white(text: str) -> list[str]:
+    """The parts of a text between the vocabulary's white space."""
+    return text.split() if _SEPARATORS.search(text) is None else _CHUNK.findall(text)
+
+
 def split_chunks(text: str) -> list[str]:
     """Normalise (composed form, lower case) and cut at white space."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return _CHUNK.findall(text.lower())
+    return cut_white(text.lower())
 
 
 _MODELS: dict[int, WordBPE] = {}
@@ -232,54 +240,62 @@ def model_of(spec: str) -> WordBPE:
     return _MODELS[key]
 
 
-_CACHES: dict[int, tuple[dict[str, tuple[str, str]], dict[str, tuple[str, str]]]] = {}
+_CACHES: dict[int, tuple[dict[str, bytes], dict[str, bytes], dict[str, tuple[bytes, bytes]]]] = {}
 
 
 def encode_documents(docs: DataFrame, spec_path: str, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default doc_id) of every row, n_tokens, ids_sha256 and decoded_sha256.
 
     Null text counts as empty: no tokens, hashes of the empty string.  Special tokens in a text are recognised.
-    Repeated rows give repeated results.
+    Repeated rows give repeated results; columns that are not kept are not read, so they may have any name; an empty
+    table gives an empty result.
     """
     with open(spec_path, encoding="utf-8") as f:  # on the driver; the fixed-size vocabulary goes out as broadcast
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
         model = model_of(spec.value)
-        cache, words = _CACHES.setdefault(id(model), ({}, {}))
+        ids_of, text_of, words = _CACHES.setdefault(id(model), ({}, {}, {}))
+        special = {t: str(i).encode() for t, i in model.special.items()}
 
         def learn(chunks):
-            if len(cache) > CHUNK_CACHE:
-                cache.clear()
+            if len(ids_of) > CHUNK_CACHE:
+                ids_of.clear()
+                text_of.clear()
             if len(words) > WORD_CACHE:
                 words.clear()
-            split = {c: model.pieces(c) for c in chunks.difference(cache)}
+            split = {c: model.pieces(c) for c in chunks.difference(ids_of)}
             new = set().union(*split.values()).difference(words)
             for w, ids in model.encode_words(new).items():
-                words[w] = (" ".join(map(str, ids)), model.decode(ids))
+                words[w] = (" ".join(map(str, ids)).encode(), model.decode(ids).encode())
             for c, ws in split.items():
                 if len(ws) == 1:
-                    cache[c] = words[ws[0]]
+                    ids_of[c], text_of[c] = words[ws[0]]
                 else:
                     both = [words[w] for w in ws]
-                    cache[c] = (" ".join([b[0] for b in both]), " ".join([b[1] for b in both]))
+                    ids_of[c], text_of[c] = b" ".join([b[0] for b in both]), b" ".join([b[1] for b in both])
+            for w in new:
+                if len(w) > KEEP_CHARS:
+                    del words[w]
+            return [c for c in split if len(c) > KEEP_CHARS]
+
+        def joined(row, known, own):
+            """All parts of a text, special tokens by ``own``."""
+            parts = [own(p) if s else b" ".join(map(known.__getitem__, p)) for p, s in row]
+            return parts[0] if len(parts) == 1 else b" ".join(filter(None, parts))
 
         def score(texts):
             parts = [[(p if s else split_chunks(p), s) for p, s in model.segments(t or "")] for t in texts]
-            learn(set().union(*[p for row in parts for p, s in row if not s]))
+            long = learn(set().union(*[p for row in parts for p, s in row if not s]))
             gc.freeze()  # what the caches hold has no cycles; collections need not walk through it
             counts, ids_hash, text_hash = [], [], []
             for row in parts:
-                both = []
-                for p, s in row:
-                    if s:
-                        both.append((str(model.special[p]), p))
-                    else:
-                        both += map(cache.__getitem__, p)
-                ids = " ".join([b[0] for b in both])
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_hash.append(hashlib.sha256(" ".join([b[1] for b in both]).encode()).hexdigest())
+                ids = joined(row, ids_of, special.__getitem__)
+                counts.append(ids.count(b" ") + 1 if ids else 0)
+                ids_hash.append(hashlib.sha256(ids).hexdigest())
+                text_hash.append(hashlib.sha256(joined(row, text_of, str.encode)).hexdigest())
+            for c in long:
+                del ids_of[c], text_of[c]
             return [counts, ids_hash, text_hash]
 
         return score

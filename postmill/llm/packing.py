@@ -13,13 +13,14 @@ from __future__ import annotations
 import gc
 import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.llm.bpe import _CHUNK
+from postmill.llm.bpe import KEEP_CHARS, cut_white
 from postmill.llm.common import partitions, saved, small_batches
 
 WINDOW, END_ID = 2048, 1
@@ -103,37 +104,51 @@ def _encoded(lib, final: np.ndarray, words: list[str]) -> list[bytes]:
         e = lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
         ids = np.array(e.ids, "<u4")
         ends = (4 * (np.flatnonzero(final[ids]) + 1)).tolist()
-        if len(ends) != len(part):
-            raise ValueError("the vocabulary cuts words of letters")
-        data = ids.tobytes()
-        out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        if len(ends) == len(part):
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        else:  # the vocabulary cuts one of them after all
+            out += [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(part, add_special_tokens=False)]
     return out
 
 
-def _learn(lib, final: np.ndarray, cache: dict[str, bytes], plain: set[str], rare: set[str]) -> None:
-    """Encode chunks into the cache.  Letters before one mark are a word and a mark for the vocabulary's pattern,
-    so such chunks are put together from both; not so ``rare`` ones, of texts with characters outside of the old
-    blocks of Unicode, where libraries may differ on what is a letter.
+def letters_only(chunk: str) -> bool:
+    """Whether a chunk is one word to the vocabulary: its normal form, composed and in lower case, is all letters.
+
+    The dotted capital I is a letter whose lower case is a letter and a mark, for example.
+    """
+    return chunk.isalpha() and (chunk.isascii() or unicodedata.normalize("NFC", chunk).lower().isalpha())
+
+
+def _learn(lib, final: np.ndarray, cache: dict[str, bytes], plain: set[str], rare: set[str]) -> list[str]:
+    """Encode chunks into the cache; returns the new ones that are too long to be kept.
+
+    Letters before one mark are a word and a mark for the vocabulary's pattern, so such chunks are put together from
+    both; not so ``rare`` ones, of texts with characters outside of the old blocks of Unicode, where libraries may
+    differ on what is a letter.
     """
     if len(cache) > CACHE:
         cache.clear()
-    words, others, double = set(), rare, []
+    words, others, double = set(), set(rare), []
     for c in plain.difference(cache):
-        if c.isalpha():
+        if letters_only(c):
             words.add(c)
-        elif c[:-1].isalpha() and c[-1].isascii() and not c[-1].isalnum():
+        elif c[-1].isascii() and not c[-1].isalnum() and letters_only(c[:-1]):
             double.append(c)
             words.add(c[:-1])
             others.add(c[-1])
         else:
             others.add(c)
     new = list(words.difference(cache))
+    long = [c for c in new if len(c) > KEEP_CHARS]
     cache.update(zip(new, _encoded(lib, final, new), strict=True))
     new = list(others.difference(cache))
+    long += [c for c in new if len(c) > KEEP_CHARS]
     for c, e in zip(new, lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
         cache[c] = np.array(e.ids, "<u4").tobytes()
     for c in double:
         cache[c] = cache[c[:-1]] + cache[c[-1]]
+    return long + [c for c in double if len(c) > KEEP_CHARS]
 
 
 _RARE = re.compile("[\u0250-\U0010ffff]")
@@ -158,7 +173,11 @@ def _tokenizer(spec: str):
 
 
 def token_pieces(docs: DataFrame, spec_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: the windows that each row's ids (and the end id) are cut into."""
+    """doc_id, start, length, ids_crc32, doc_tokens: the windows that each row's ids (and the end id) are cut into.
+
+    Null text counts as empty and has the end id alone.  Repeated rows give repeated pieces; other columns are not
+    read; an empty table gives an empty result.
+    """
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
@@ -172,10 +191,10 @@ def token_pieces(docs: DataFrame, spec_path: str, window: int = WINDOW, end_id:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             # lower case makes no difference to the vocabulary, but fewer chunks
-            chunks = [None if "<|" in t else _CHUNK.findall(t.lower() if t.isascii() else t) for t in texts]
+            chunks = [None if "<|" in t else cut_white(t.lower() if t.isascii() else t) for t in texts]
             odd = [not t.isascii() and _RARE.search(t) is not None for t in texts]
-            _learn(lib, final, cache, set().union(*[c for c, o in zip(chunks, odd, strict=True) if c and not o]),
-                   set().union(*[c for c, o in zip(chunks, odd, strict=True) if c and o]))
+            long = _learn(lib, final, cache, set().union(*[c for c, o in zip(chunks, odd, strict=True) if c and not o]),
+                          set().union(*[c for c, o in zip(chunks, odd, strict=True) if c and o]))
             gc.freeze()  # what the cache holds has no cycles; collections need not walk through it
             out: list[list] = [[], [], [], [], []]
             for i, t, c in zip(batch.column("doc_id").to_pylist(), texts, chunks, strict=True):
@@ -188,6 +207,8 @@ def token_pieces(docs: DataFrame, spec_path: str, window: int = WINDOW, end_id:
                     part = data[4 * start:4 * (start + window)]
                     for column, value in zip(out, (i, start, len(part) // 4, zlib.crc32(part), total), strict=True):
                         column.append(value)
+            for c in long:
+                cache.pop(c, None)
             yield pa.RecordBatch.from_arrays([pa.array(v, batch.schema.field("doc_id").type if k == 0 else pa.int64())
                                               for k, v in enumerate(out)],
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

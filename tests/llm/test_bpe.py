@@ -52,3 +52,14 @@ def test_documents(spark):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(LIB.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert encode_documents(docs.limit(0), PATH).collect() == []
+
+
+def test_very_long_texts(spark):
+    """A text of half a million words, and one unbroken chunk; neither stays in the caches."""
+    long = "the quick brown fox's 12 jumps " * 80_000
+    rows = [(1, long), (2, "qxv" * 9_000), (3, "x" * 70 + " y " + "x" * 70 + "!")]
+    got = encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    for (i, t), r in zip(rows, got, strict=True):
+        ids = LIB.encode(t, add_special_tokens=False).ids
+        assert (r.doc_id, r.n_tokens) == (i, len(ids))
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()

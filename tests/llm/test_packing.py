@@ -70,3 +70,17 @@ def test_documents(spark):
         assert end <= 64
     assert len(by) <= 1.1 * sum(w[2] for w in want) / 64 + 1
     assert pack_documents(docs.limit(0), PATH).collect() == []
+
+
+def test_every_old_letter(spark):
+    """All code points below U+0250, alone and in words; some lower-case letters are more than one letter."""
+    texts = ["Ankara ve İstanbul arası", "İİ, ab'İ"]
+    for i in range(1, 0x250):
+        texts.append(" ".join([chr(i), chr(i) * 2, f"ab{chr(i)}", f"{chr(i)}stan", f"{chr(i)}x.", f"a{chr(i)}b,"]))
+    texts.append("q" * 5000 + " " + "İ" * 3000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.start): r for r in pack_documents(docs, PATH).collect()}
+    lib = Tokenizer.from_file(PATH)
+    for i, t in enumerate(texts):
+        ids = np.array([*lib.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert all(got[i, s].ids_crc32 == zlib.crc32(ids[s:s + 2048].tobytes()) for s in range(0, len(ids), 2048)), t
