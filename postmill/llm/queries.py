@@ -79,7 +79,12 @@ candidates AS (
   SELECT * FROM ({_places_sql(3, 't', secrets.CANDIDATE)})
   WHERE regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]')
     AND len(list_distinct(string_split(value, ''))) >= {secrets.MIN_DISTINCT}),
-verdicts AS (SELECT value, count(DISTINCT coalesce(source, '')) <= {secrets.MAX_OWNERS} AS live FROM candidates GROUP BY 1),
+held AS (
+  SELECT value, count(*) AS owners, sum(n) AS repositories FROM (
+    SELECT value, owner, count(*) AS n FROM (
+      SELECT c.value, t.x, min(c.source) AS owner FROM candidates c JOIN t USING (doc_id) GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1),
+verdicts AS (
+  SELECT value, owners <= {secrets.MAX_OWNERS} AND repositories <= {secrets.MAX_REPOSITORIES} * owners AS live FROM held),
 added AS (
   SELECT c.* FROM candidates c JOIN verdicts USING (value) WHERE live AND NOT EXISTS (
     SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c.stop AND b.stop > c.start)),

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from postmill.llm.secrets import MAX_OWNERS, digests, redact_documents, scan
+from postmill.llm.secrets import MAX_OWNERS, MAX_REPOSITORIES, digests, redact_documents, scan
 
 KINDS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
@@ -19,20 +19,24 @@ def plain_spans(text):
 
 
 def plain_added(rows):
-    owners, found = {}, []
+    texts, found = {}, []
     for _, text, owner in rows:
         mine = []
         for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text or ""):
             v = m.group()
             if re.search("[A-Za-z]", v) and re.search("[0-9]", v) and len(set(v)) >= 8:
                 mine.append((m.start(), m.end(), v))
-                owners.setdefault(v, set()).add(owner)
+                texts.setdefault(v, {}).setdefault(text, set()).add(owner)
         found.append(mine)
+
+    def live(v):
+        owners = {min((o for o in held if o is not None), default=None) for held in texts[v].values()}
+        return len(owners) <= MAX_OWNERS and len(texts[v]) <= MAX_REPOSITORIES * len(owners)
+
     out = []
     for (_, text, _), mine in zip(rows, found, strict=True):
         base = plain_spans(text or "")
-        out.append([(a, 3, b) for a, b, v in mine if len(owners[v]) <= MAX_OWNERS
-                    and not any(s < b and e > a for s, _, e in base)])
+        out.append([(a, 3, b) for a, b, v in mine if live(v) and not any(s < b and e > a for s, _, e in base)])
     return out
 
 
@@ -78,3 +82,31 @@ def test_redact(spark):
             text = re.sub("\0+", "[SECRET]", "".join("\0" if c else ch for ch, c in zip(text, cover, strict=True)))
         want.append((str(i), str(text), str(source)))
     assert sorted((str(r.doc_id), str(r.text), str(r.source)) for r in got) == sorted(want)
+
+
+def test_repositories_and_owners(spark):
+    """Copies of one text count once; many texts of one owner make an example, and so do many owners."""
+    key = ["Zx81-AbCdEfGhIjKlMnOp77", "Qw22_AbCdEfGhIjKlMnOp88", "Er33/AbCdEfGhIjKlMnOp99", "Ty44+AbCdEfGhIjKlMnOp11"]
+    data = [(i, f"mine {key[0]}", f"s{i}") for i in range(20)]  # copies of one text under many sources
+    data += [(100 + i, f"{i} spread {key[1]}", "s0") for i in range(MAX_REPOSITORIES + 1)]  # many texts of one owner
+    data += [(200 + i, f"{i} known {key[2]}", "s0") for i in range(MAX_REPOSITORIES)]
+    data += [(300 + i, f"{i} public {key[3]}", f"s{i}") for i in range(MAX_OWNERS + 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in digests(scan(docs)).collect()}
+    live = {i for i, r in got.items() if "owner" in r.spans}
+    assert live == {i for i, _, _ in data if i < 100 or 200 <= i < 300}
+    assert {i for i, r in got.items() if r.n_examples} == set(got) - live
+
+
+def test_many_matches_in_one_text(spark):
+    """A text of thousands of matches, whose parts cross the blocks of the cutting, against plain Python."""
+    rng = random.Random(6)
+    text = " ".join(rng.choice(["0123456789abcdef" * 2, "é😀" * 40, "token=abcdefgh9", "x" * 30]) for _ in range(6000))
+    docs = spark.createDataFrame([(1, text, "s"), (2, "token=12345678", "s")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in redact_documents(docs).collect()}
+    cover = [False] * len(text)
+    for a, _, b in plain_spans(text):
+        cover[a:b] = [True] * (b - a)
+    assert got[1].text == re.sub("\0+", "[SECRET]", "".join("\0" if c else ch for ch, c in zip(text, cover, strict=True)))
+    assert got[2].text == "[SECRET]"
+    assert len(digests(scan(docs)).filter("doc_id = 1").first().spans.split(",")) == len(plain_spans(text))
