@@ -50,25 +50,29 @@ def span_of(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> list[tuple[str, int]]:
-    """About ``rows`` (text, label) pairs of each class, ordered by doc_id, at most ``chars`` characters of each.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list[tuple[str, int]]:
+    """At most ``rows`` (whole text, label) pairs of each class, ordered by doc_id.
 
-    Rows are chosen by a hash of doc_id; null labels, ids and texts are not used.  The bound is the caller's
-    parameter, so what reaches the driver does not grow with the tables.
+    The labelled ids with the smallest hashes are chosen, so the sample does not depend on partitions; null labels,
+    ids and texts are not used, and of several texts of one doc_id the smallest is.  The bound is the caller's
+    parameter: what reaches the driver does not grow with the tables.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).dropna().filter("y in (0, 1)").distinct()
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    take = F.lit(False)
-    for y, n in sizes.items():
-        take = take | ((F.col("y") == y) & (place < min(1.0, rows / n)))
-    chosen = known.filter(take).limit(3 * rows)
+    if not sizes:
+        return []
+    known = known.withColumn("_h", F.xxhash64("doc_id"))
+    place = F.pmod(F.col("_h"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = None
+    for y, n in sorted(sizes.items()):  # the first test only spares the sort most rows
+        few = known.filter((F.col("y") == y) & (place < min(1.0, 2 * rows / n + 1e-4))).orderBy(place, "_h").limit(rows)
+        chosen = few if chosen is None else chosen.unionByName(few)
     found = (
-        docs.select("doc_id", F.substring("text", 1, chars).alias("text"))
-        .join(F.broadcast(chosen), "doc_id")  # at most 3 * rows rows
-        .filter("text is not null").collect()
+        docs.select("doc_id", "text").filter("text is not null")
+        .join(F.broadcast(chosen.select("doc_id", "y")), "doc_id")  # at most 2 * rows rows
+        .groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     )
-    return [(r["text"], r["y"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["y"], r["text"]))]
+    return [(r["text"], r["y"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["y"]))]
 
 
 def map_texts(docs: DataFrame, keep: list[str], schema: str, make, group_chars: int = 0) -> DataFrame:

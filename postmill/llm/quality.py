@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from postmill.llm.common import labelled_sample, map_texts
 
 FILTERS, WIDTH, CHUNK = 16, 5, 4096
-#: Bounds of the training sample: rows of each class and characters of a row.
-SAMPLE_ROWS, SAMPLE_CHARS = 1200, 6000
+#: Bound of the training sample: labelled rows of each class, whole texts.
+SAMPLE_ROWS = 900
 EPOCHS, BATCH, RATE = 8, 16, 0.02
 THRESHOLD = 0.3
 
@@ -94,14 +94,17 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> ByteConvNet:
     return net
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> ByteConvNet:
-    return train(labelled_sample(docs, labels, "quality", rows, chars))
+def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ByteConvNet:
+    """A network fitted on whole texts of at most ``rows`` labelled rows of each class (see ``labelled_sample``)."""
+    return train(labelled_sample(docs, labels, "quality", rows))
 
 
 def score_quality(docs: DataFrame, net: ByteConvNet, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default doc_id) of every row, score in 0..1 (higher: label 1 likelier) and predicted.
 
-    Null text counts as empty and gets the score of an all-zero input.  Equal texts have equal scores.
+    Null text counts as empty and gets the score of an all-zero input.  Equal texts have equal scores, so repeated
+    rows give repeated results; a score of exactly ``THRESHOLD`` predicts 1.  Columns that are not kept are not read;
+    an empty table gives an empty result.
     """
     scored = map_texts(docs, keep or ["doc_id"], "score double", lambda: lambda texts: [[net.score(t) for t in texts]])
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

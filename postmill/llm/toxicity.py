@@ -1,8 +1,9 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
 P(grade <= k) = logistic(threshold_k - w.x): one weight vector serves all thresholds.  x marks which words and
-beginnings of words a text has (hashed to ``BUCKETS`` places).  Labels say toxic or not; toxic training rows get grade 1 or 2 by how many
-words of strong evidence they have, against their median.  The severity of a text is its expected grade.
+beginnings of words a text has (hashed to ``BUCKETS`` places).  Labels say toxic or not; toxic training rows get
+grade 1 or 2 by how many words of strong evidence they have, against their median.  The severity of a text is its
+expected grade.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from postmill.llm.common import labelled_sample, map_texts
 
 BUCKETS = 1 << 18
 GRADES = 3
-#: Bounds of the training sample: rows of each class and characters of a row.
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 8000
+#: Bound of the training sample: labelled rows of each class, whole texts.
+SAMPLE_ROWS = 2000
 #: Lengths of the beginnings of words that are features besides the words.
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: A feature enters with at least so many training rows, if its toxic share is so many standard errors off the mean.
@@ -119,15 +120,17 @@ def train(sample: list[tuple[str, int]]) -> OrdinalModel:
     return OrdinalModel({int(b): float(v) for b, v in zip(names, w, strict=True) if v}, theta)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> OrdinalModel:
-    return train(labelled_sample(docs, labels, "toxic", rows, chars))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> OrdinalModel:
+    """A model fitted on whole texts of at most ``rows`` labelled rows of each class (see ``labelled_sample``)."""
+    return train(labelled_sample(docs, labels, "toxic", rows))
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default doc_id) of every row, score (probability of a grade over 0), severity (expected
     grade, 0..2), grade (the most probable one) and toxic (score >= ``THRESHOLD``).
 
-    Null text counts as empty.  Equal texts have equal results.
+    Null text counts as empty.  Equal texts have equal results, so repeated rows give repeated results; of equally
+    probable grades the lowest is given.  Columns that are not kept are not read; an empty table gives an empty result.
     """
 
     def make():
