@@ -7,12 +7,12 @@ import numpy as np
 import public_tokenizers
 import pytest
 from test_secrets import listed, plain_added, plain_spans
-from test_simhash import plain_components, plain_fingerprint
+from test_similar import plain_groups
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from postmill.llm.common import documents, fold
-from postmill.llm.language import Identifier, fit_dictionaries
+from postmill.llm.language import MIN_MARGIN, Identifier, fit_dictionaries
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,7 +43,7 @@ def test_columns(stages, spark):
 def test_language(stages):
     given, kept, docs = stages[0]
     model = Identifier(fit_dictionaries(docs.filter(fold() != 0)))
-    stay = [r for r in given if (p := model.predict(r.text))[0] != "und" and p[1] >= 0.001]
+    stay = [r for r in given if (p := model.predict(r.text))[0] != "und" and p[1] >= MIN_MARGIN]
     assert sorted(map(tuple, kept)) == sorted(map(tuple, stay)) and len(kept) > 0.9 * len(given)
 
 
@@ -57,8 +57,7 @@ def test_exact(stages):
 
 def test_near(stages):
     given, kept, _ = stages[2]
-    prints = [plain_fingerprint(r.text) for r in given]
-    groups = plain_components(len(given), [(i, j) for i in range(len(given)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
+    groups = plain_groups([r.text for r in given])
     least = {}
     for r, g in zip(given, groups, strict=True):
         least[g] = min(least.get(g, r.doc_id), r.doc_id)

@@ -4,7 +4,7 @@ import pytest
 from test_simhash import plain_components
 
 import corpus_pipeline
-from postmill.llm import minhash
+from postmill.llm import similar
 
 
 def plain_shingles(text):
@@ -43,12 +43,16 @@ def texts():
     return out
 
 
-def test_groups(spark, texts):
+@pytest.mark.parametrize("small,block", [(48, 512), (2, 8), (1000, 512)])
+def test_groups(spark, texts, monkeypatch, small, block):
+    """Small buckets as pairs, and all in small blocks of large ones, give the groups of a comparison of all pairs."""
+    monkeypatch.setattr(similar, "SMALL_BUCKET", small)
+    monkeypatch.setattr(similar, "BLOCK", block)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    want, got = plain_groups(texts), {r.doc_id: r.group_id for r in minhash.near_groups(docs).collect()}
-    assert len(set(want)) < len(texts) - 200
+    want, got = plain_groups(texts), {r.doc_id: r.group_id for r in similar.near_groups(docs).collect()}
+    assert len(set(want)) < len(texts) - 150
     assert len({(want[i], got[i]) for i in got}) == len(set(want)) == len(set(got.values()))
-    assert minhash.drop_near_duplicates(docs.limit(0)).count() == 0
+    assert similar.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
 def test_stage(spark, texts):
