@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, language, minhash, packing, secrets
+from postmill.llm import exact_dedup, language, packing, secrets, similar
 from postmill.llm.common import documents, fold, saved
 from postmill.llm.queries import tokenizer_path
 
@@ -28,7 +28,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at a similarity of 0.8 or more of five-word shingles: the one with the smallest doc_id."""
-    return minhash.drop_near_duplicates(docs).select(*COLUMNS)
+    return similar.drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
