@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from postmill.functions.privacy import PATTERNS
+from postmill.functions.text import HTML_STEPS
 
 _STRIP = r"regexp_replace({}, r'(?U)^\s+|\s+$', '')"
 
@@ -21,15 +22,17 @@ def _scrub(x: str) -> str:
     return x
 
 
-_HTML = (
-    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, "
-    r"r'(?is)<(script|style)[^>]*>.*?</\1>', ''), r'(?i)<br\s*/?>', '\n'), '<[^>]+>', ' '), r'[ \t]+', ' '), r'\n{3,}', '\n\n')")
+def _html(x: str) -> str:
+    for pattern, by in HTML_STEPS:
+        x = f"regexp_replace({x}, r'{pattern}', {chr(39) + by.encode('unicode_escape').decode() + chr(39)})"
+    return _STRIP.format(x)
+
 
 FUNCTIONS = {
     "slugify": _slug("x"),
     "category_path": "coalesce(nullif(array_join(transform(filter(split(x, r'[/\\\\]+'), p -> "
                      + _STRIP.format("p") + " <> ''), p -> " + _slug("p") + "), '/'), ''), 'general')",
-    "html_to_text": _STRIP.format(_HTML),
+    "html_to_text": _html("x"),
     "scrub_text": _scrub("x"),
     "date_band": "coalesce(nullif(substring(x, 1, 4), ''), 'undated')",
 }

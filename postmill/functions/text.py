@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_STEM = 160
+#: What html_to_text replaces, in this order, and by what.
+HTML_STEPS = (
+    (r"(?is)<(script|style)[^>]*>.*?</\1>", ""),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"<[^>]+>", " "),
+    (r"[ \t]+", " "),
+    (r"\n{3,}", "\n\n"),
+)
 
 
 def filled(col: Column) -> Column:
@@ -103,10 +111,9 @@ def thread_key(references: Column, in_reply_to: Column, message_id: Column) -> C
 
 def html_to_text(html: Column) -> Column:
     """Drop scripts and styles, break at <br>, blank out tags, collapse blanks.  Entities stay as they are."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
-    text = F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"[ \t]+", " ")
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    for pattern, by in HTML_STEPS:
+        html = F.regexp_replace(html, pattern, by)
+    return strip(html)
 
 
 def word_count(text: Column) -> Column:

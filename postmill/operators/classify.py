@@ -21,14 +21,22 @@ def without_rule_rows(messages: DataFrame, classifications: DataFrame) -> DataFr
     return messages.join(done.select(F.col("message_db_id").alias("id")), "id", "left_anti")
 
 
-def threads_without_rule_rows(messages: DataFrame, classifications: DataFrame) -> DataFrame:
-    """Distinct (account_key, thread_key) that have no thread-level rule row; accounts compare null-safely."""
-    threads = messages.filter("thread_key IS NOT NULL").select("account_key", "thread_key").distinct()
-    done = classifications.filter(
+def _threads_with_rule_rows(classifications: DataFrame) -> DataFrame:
+    return classifications.filter(
         (F.col("target_type") == "thread") & F.col("classifier_type").isin(*RULE_TYPES)
-    ).select(F.col("account_key").alias("_a"), F.col("thread_key").alias("_t"))
-    return threads.join(
-        done, threads["account_key"].eqNullSafe(done["_a"]) & (threads["thread_key"] == done["_t"]), "left_anti")
+    ).select(F.col("account_key").alias("_a"), F.col("thread_key").alias("_t")).distinct()
+
+
+def threads_without_rule_rows(messages: DataFrame, classifications: DataFrame, by_account: bool = True) -> DataFrame:
+    """Distinct (account_key, thread_key) that have no thread-level rule row; accounts compare null-safely.
+
+    Without ``by_account`` a rule row of any account counts, and the distinct thread keys are given.
+    """
+    keys = ["account_key", "thread_key"] if by_account else ["thread_key"]
+    threads = messages.filter("thread_key IS NOT NULL").select(*keys).distinct()
+    done = _threads_with_rule_rows(classifications)
+    same = threads["thread_key"] == done["_t"]
+    return threads.join(done, same & threads["account_key"].eqNullSafe(done["_a"]) if by_account else same, "left_anti")
 
 
 def matched(records: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -60,10 +68,9 @@ def classify_messages(messages: DataFrame, classifications: DataFrame, rules: Se
 
 def match_threads(messages: DataFrame, classifications: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Thread inputs of the open threads with their outcome."""
-    todo = threads_without_rule_rows(messages, classifications)
+    done = _threads_with_rule_rows(classifications)
     rows = messages.join(
-        todo.select(F.col("account_key").alias("_a"), F.col("thread_key").alias("_t")),
-        F.col("account_key").eqNullSafe(F.col("_a")) & (F.col("thread_key") == F.col("_t")), "left_semi")
+        done, messages["account_key"].eqNullSafe(done["_a"]) & (messages["thread_key"] == done["_t"]), "left_anti")
     return matched(thread_inputs(rows, ["account_key", "thread_key"]), rules)
 
 

@@ -22,6 +22,8 @@ from postmill.operators.threads import day_of, ranked
 from postmill.session import saved
 
 GROUP = ["account_key", "category", "band"]
+#: What the statistics of packs need of a record; it travels through the packing, so records are rendered once.
+CARRIED = ["thread_key", "date_utc", "was_scrubbed", "chunk_words", "chunk_bytes"]
 #: Rows of a group that one task packs.
 CHUNK = 200_000
 
@@ -55,8 +57,12 @@ def export_records(messages: DataFrame, classifications: DataFrame, security: Se
     ``override`` goes before the record's profile, which goes before the configured default.  ``was_scrubbed`` tells
     whether redaction changed the body.
     """
-    both = classified(messages, classifications).withColumn("_source", F.lit(0)).unionByName(
-        unclassified(messages, classifications).withColumn("_source", F.lit(1)))
+    rows = classifications.filter("target_type = 'message'").select(
+        F.col("message_db_id").alias("id"), "category_path", "export_profile", "sensitivity", F.lit(0).alias("_source"))
+    # an outer join is the union of the classified and the unclassified rows, and reads the messages once
+    both = messages.join(rows, "id", "left").withColumns({
+        "category_path": F.when(F.col("_source").isNull(), "unclassified").otherwise(F.col("category_path")),
+        "_source": F.coalesce("_source", F.lit(1))})
     profile = F.lit(override) if override else export_profile(F.col("export_profile"), security.default_export_profile)
     rows = both.withColumn("effective_profile", profile).filter("effective_profile <> 'exclude'")
     body, changed = apply_policy(F.col("body_text"), F.col("effective_profile"), security)
@@ -92,7 +98,7 @@ def next_starts(words: np.ndarray, sizes: np.ndarray, limits: PackLimits) -> np.
 
 
 def assign_packs(rows: DataFrame, limits: PackLimits, chunk: int = CHUNK) -> DataFrame:
-    """(_source, id, category_path, account_key, category, band, pack): the greedy packing of each group.
+    """(_source, id, category_path, account_key, category, band, pack and ``CARRIED``): the greedy packing of each group.
 
     A pack closes before a record that would take it over a maximum, or once it has reached a target.  A group's rows
     are cut into chunks that are packed side by side: every chunk works out, for each place where a pack may enter it,
@@ -103,10 +109,10 @@ def assign_packs(rows: DataFrame, limits: PackLimits, chunk: int = CHUNK) -> Dat
     order = [F.col("_source"), F.col("category_path"), F.col("date_utc").asc_nulls_last(), F.col("id")]
     part = F.struct("_source", "category_path", day_of().alias("day"))
     # rendering and redaction run once, for these narrow rows, however often they are read below
-    narrow = saved(rows.select("_source", "id", "category_path", "date_utc", *GROUP, "chunk_words", "chunk_bytes"))
+    narrow = saved(rows.select("_source", "id", "category_path", *GROUP, *CARRIED))
     at = F.col("_rank") - 1
     placed = saved(ranked(narrow, GROUP, order, part).select(
-        "_source", "id", "category_path", *GROUP, "chunk_words", "chunk_bytes", at.alias("at"),
+        "_source", "id", "category_path", *GROUP, *CARRIED, at.alias("at"),
         F.floor(at / chunk).alias("part")))
     near = (F.col("part") > 0) & (F.col("at") % chunk < reach)
     dealt = placed.withColumn("task", F.explode(F.when(
@@ -149,7 +155,7 @@ def assign_packs(rows: DataFrame, limits: PackLimits, chunk: int = CHUNK) -> Dat
             j = min(int(jump[i]), own)
             packs[i:j] = seq
             i, seq = j, seq + 1
-        kept = pdf.iloc[:own][["_source", "id", "category_path", *GROUP]].copy()
+        kept = pdf.iloc[:own][["_source", "id", "category_path", *GROUP, *CARRIED]].copy()
         kept["pack"] = packs
         return kept
 
@@ -159,16 +165,16 @@ def assign_packs(rows: DataFrame, limits: PackLimits, chunk: int = CHUNK) -> Dat
         ways, f"{groups}, task long, own long, leave array<long>, packs array<long>")
     entries = paths.groupBy(*GROUP).applyInPandas(link, f"{groups}, task long, enter long, first long")
     return dealt.join(entries, [*GROUP, "task"]).groupBy(*GROUP, "task").applyInPandas(
-        assign, f"_source {kinds['_source']}, id {kinds['id']}, category_path string, {groups}, pack long")
+        assign, f"_source {kinds['_source']}, id {kinds['id']}, category_path string, {groups}, "
+                + "".join(f"{c} {kinds[c]}, " for c in CARRIED) + "pack long")
 
 
-def pack_stats(records: DataFrame, packs: DataFrame) -> DataFrame:
-    """messages, threads, words, chunk bytes, dates and the scrub flag of each pack.
+def pack_stats(packs: DataFrame) -> DataFrame:
+    """messages, threads, words, chunk bytes, dates and the scrub flag of each pack of :func:`assign_packs`.
 
     Thread keys are counted in two steps, so a hot pack or thread is combined before it is shuffled.
     """
-    keys = ["_source", "id", "category_path", *GROUP]
-    rows = records.select(*keys, "thread_key", "date_utc", "was_scrubbed", "chunk_words", "chunk_bytes").join(packs, keys)
+    rows = packs
     threads = F.nullif("thread_key", F.lit(""))
     dates = F.nullif("date_utc", F.lit(""))
     return rows.groupBy(*GROUP, "pack").agg(

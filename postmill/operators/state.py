@@ -1,11 +1,14 @@
 """State tables: insert-if-absent, replacement, cascades, run logs.
 
-Tables are immutable relations; changes are anti-joins and unions, and :class:`StateStore` swaps whole versions.
+Tables are immutable relations; changes are anti-joins and unions, and :class:`StateStore` keeps their versions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,11 +64,43 @@ def resume_points(runs: DataFrame) -> DataFrame:
     return latest_runs(open_runs, ["source_id"]).select("source_id", "id", "last_mbox_key")
 
 
+class Change:
+    """What one change does to the tables; it takes effect as a whole when the store commits it."""
+
+    def __init__(self, store: StateStore):
+        self.store, self.base = store, store.version()
+        self.tables = store.current()
+
+    def read(self, table: str, schema: StructType | str) -> DataFrame:
+        """The table as this change leaves it so far."""
+        return self.store.load(self.tables.get(table, []), schema)
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        """Write the new rows only.  Each eight parts of one level at the end are merged into one of the next level."""
+        parts = [*self.tables.get(table, []), self.store.save(table, rows, 0)]
+        while len(tail := parts[-MERGED:]) == MERGED and len({_level(p) for p in tail}) == 1:
+            merged = self.store.load(tail, rows.schema)
+            parts[-MERGED:] = [self.store.save(table, merged, _level(tail[0]) + 1)]
+        self.tables[table] = parts
+
+    def replace(self, table: str, rows: DataFrame) -> None:
+        self.tables[table] = [self.store.save(table, rows, 0)]
+
+
+#: Parts of one level that are merged.
+MERGED = 8
+
+
+def _level(part: str) -> int:
+    return int(part.rsplit("/", 1)[1].split("-")[0])
+
+
 class StateStore:
-    """Tables as versioned Parquet folders under one root, on any file system Spark knows.
+    """Tables as lists of Parquet part folders under one root, on any file system Spark knows.
 
-    A write makes a new version; readers take the newest complete one (it has Spark's success mark), so a lost
-    write leaves the table as it was.
+    A manifest names the parts of every table.  A change writes its parts first and then the next manifest by one
+    rename, so it takes effect for all its tables at once, and a lost one changes nothing.  Readers take the newest
+    manifest.  Two writers at once cannot both make the next version: the later one fails.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -74,38 +109,83 @@ class StateStore:
     def _path(self, where: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(where)
 
-    def _fs(self, where: str):
-        return self._path(where).getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _fs(self):
+        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.root}/_manifests/{version:08d}.json"
 
-    def versions(self, table: str) -> list[int]:
-        folder = f"{self.root}/{table}"
-        fs = self._fs(folder)
-        if not fs.exists(self._path(folder)):
+    def versions(self) -> list[int]:
+        fs, folder = self._fs(), self._path(f"{self.root}/_manifests")
+        if not fs.exists(folder):
             return []
-        found = []
-        for status in fs.listStatus(self._path(folder)):
-            name = status.getPath().getName()
-            if name.startswith("v") and fs.exists(self._path(f"{folder}/{name}/_SUCCESS")):
-                found.append(int(name[1:]))
-        return sorted(found)
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def version(self) -> int:
+        return max(self.versions(), default=0)
+
+    def manifest(self, version: int) -> dict[str, list[str]]:
+        if not version:
+            return {}
+        stream = self._fs().open(self._path(self._manifest(version)))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def current(self) -> dict[str, list[str]]:
+        return self.manifest(self.version())
 
     def tables(self) -> list[str]:
-        fs = self._fs(self.root)
-        if not fs.exists(self._path(self.root)):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(self._path(self.root)) if s.isDirectory())
+        return sorted(self.current())
+
+    def load(self, parts: list[str], schema: StructType | str) -> DataFrame:
+        """The rows of some parts; columns that an older part lacks are null."""
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in parts])
 
     def read(self, table: str, schema: StructType | str) -> DataFrame:
         """The newest version; an empty relation when there is none."""
-        found = self.versions(table)
-        if not found:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v{found[-1]:06d}")
-
-    def write(self, table: str, rows: DataFrame, keep: int = 2) -> None:
-        """Write a version; older ones than the last ``keep`` go."""
-        found = self.versions(table)
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/v{(found[-1] if found else 0) + 1:06d}")
-        for old in found[: max(0, len(found) + 1 - keep)]:
-            where = f"{self.root}/{table}/v{old:06d}"
-            self._fs(where).delete(self._path(where), True)
+        return self.load(self.current().get(table, []), schema)
+
+    def save(self, table: str, rows: DataFrame, level: int) -> str:
+        """Write a part that no manifest names yet; returns its place under the root."""
+        part = f"{table}/{level}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{part}")
+        return part
+
+    @contextmanager
+    def change(self) -> Iterator[Change]:
+        """A change that is committed at the end, or dropped on an error."""
+        made = Change(self)
+        yield made
+        self.commit(made)
+
+    def commit(self, made: Change, keep: int = 2) -> None:
+        """Make the change's tables the next version; older versions than the last ``keep`` go with their parts."""
+        fs, target = self._fs(), self._path(self._manifest(made.base + 1))
+        partial = self._path(f"{self.root}/_manifests/.{uuid.uuid4().hex}")
+        out = fs.create(partial)
+        out.write(bytearray(json.dumps(made.tables).encode()))
+        out.close()
+        if fs.exists(target) or not fs.rename(partial, target):
+            fs.delete(partial, False)
+            raise RuntimeError("another change came first")
+        kept = self.versions()[-keep:]
+        needed = {p for v in kept for parts in self.manifest(v).values() for p in parts}
+        for old in [v for v in self.versions() if v not in kept]:
+            for part in {p for parts in self.manifest(old).values() for p in parts} - needed:
+                fs.delete(self._path(f"{self.root}/{part}"), True)
+            fs.delete(self._path(self._manifest(old)), False)
+
+    def write(self, table: str, rows: DataFrame) -> None:
+        """Replace one table."""
+        with self.change() as made:
+            made.replace(table, rows)
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        """Add rows to one table."""
+        with self.change() as made:
+            made.append(table, rows)

@@ -60,8 +60,9 @@ def pending(proposals: DataFrame, account_key: str | None = None) -> DataFrame:
     return rows.orderBy(F.col("confidence").desc_nulls_last(), "created_at")
 
 
-def decide(proposals: DataFrame, proposal_id: int, approve: bool) -> tuple[DataFrame, str | None]:
-    """Proposals after a decision and the path to add.
+def decide(proposals: DataFrame, proposal_id: int, approve: bool, note: str = "",
+           reviewed_at: str | None = None) -> tuple[DataFrame, str | None]:
+    """Proposals after a decision, with its note and time, and the path to add.
 
     Approving a proposal that is not pending is an error; rejecting one changes nothing.
     """
@@ -71,5 +72,6 @@ def decide(proposals: DataFrame, proposal_id: int, approve: bool) -> tuple[DataF
             raise ConfigError(f"no pending proposal {proposal_id}")
         return proposals, None
     hit = F.col("id") == proposal_id
-    status = F.when(hit, "approved" if approve else "rejected").otherwise(F.col("status"))
-    return proposals.withColumn("status", status), found["proposed_path"] if approve else None
+    given = {"status": "approved" if approve else "rejected", "reviewed_note": note, "reviewed_at": reviewed_at}
+    changed = proposals.withColumns({k: F.when(hit, F.lit(v)).otherwise(F.col(k)) for k, v in given.items()})
+    return changed, found["proposed_path"] if approve else None

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.text import strip, subject_root
+from postmill.session import saved
 
 EXCERPT_CHARS, FIRST_PARTICIPANTS = 500, 20
 
@@ -58,19 +59,37 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column], part: Column)
     )
 
 
-def excerpts(messages: DataFrame, keys: list[str], max_chars: int = EXCERPT_CHARS) -> DataFrame:
-    """Up to four bodies of each group, in order: first, middle, third quarter (of more than four), last.
-
-    Only non-blank bodies count; they are trimmed and cut.  Groups without one are not in the result.
-    """
-    bodies = messages.select(*keys, "id", "date_utc", strip(F.col("body_text")).alias("_body")).filter("_body <> ''")
+def excerpt_places(bodies: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, _rank) of up to four rows of each group, in order: first, middle, third quarter (of more than four), last."""
     n, r = F.col("_count"), F.col("_rank")
     pick = (
         (r == 1) | (r == n) | ((n > 2) & (r == F.floor(n / 2) + 1)) | ((n > 4) & (r == F.floor(3 * n / 4) + 1)))
     order = [F.col("date_utc").asc_nulls_last(), F.col("id")]
-    return ranked(bodies, keys, order, day_of()).filter(pick).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_rank", F.substring("_body", 1, max_chars).alias("body")))).alias("_e"),
-    ).select(*keys, F.transform("_e", lambda e: e["body"]).alias("excerpts"))
+    return ranked(bodies.select(*keys, "id", "date_utc"), keys, order, day_of()).filter(pick).select(*keys, "id", "_rank")
+
+
+def has_body() -> Column:
+    return F.coalesce(strip(F.col("body_text")) != "", F.lit(False))
+
+
+def _excerpted(places: DataFrame, messages: DataFrame, keys: list[str], max_chars: int) -> DataFrame:
+    """Bodies of the places, trimmed and cut, in order: the few rows are looked up, the others never leave their table."""
+    own = places.select("id", "_rank", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = messages["id"] == own["id"]
+    for i, k in enumerate(keys):
+        same = same & messages[k].eqNullSafe(own[f"_k{i}"])
+    body = F.substring(strip(messages["body_text"]), 1, max_chars)
+    found = messages.join(own, same).select(*[messages[k] for k in keys], "_rank", body.alias("body"))
+    return found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rank", "body"))).alias("_e")).select(
+        *keys, F.transform("_e", lambda e: e["body"]).alias("excerpts"))
+
+
+def excerpts(messages: DataFrame, keys: list[str], max_chars: int = EXCERPT_CHARS) -> DataFrame:
+    """Up to four bodies of each group (see :func:`excerpt_places`).
+
+    Only non-blank bodies count; they are trimmed and cut.  Groups without one are not in the result.
+    """
+    return _excerpted(excerpt_places(messages.filter(has_body()), keys), messages, keys, max_chars)
 
 
 def thread_inputs(messages: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,19 +100,25 @@ def thread_inputs(messages: DataFrame, keys: list[str]) -> DataFrame:
     key (the last of ``keys``) have no thread.
     """
     rows = messages.filter(F.col(keys[-1]).isNotNull())
+    # without bodies; written once, since ranks, addresses and the other columns are aggregated side by side
+    narrow = saved(rows.select(*keys, "id", "date_utc", "subject", "sender", "recipients", has_body().alias("_has_body")))
     order = in_order()
     blank = strip(F.coalesce(F.col("subject"), F.lit(""))) == ""
-    base = rows.groupBy(*keys).agg(
+    base = narrow.groupBy(*keys).agg(
         F.coalesce(F.min_by(subject_root(F.col("subject")), F.when(~blank, order)), F.lit("")).alias("subject"),
         F.coalesce(F.min_by("sender", order), F.lit("")).alias("sender"),
         F.count("*").alias("message_count"), F.min(F.nullif("date_utc", F.lit(""))).alias("date_min"),
-        F.max(F.nullif("date_utc", F.lit(""))).alias("date_max"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform(addresses(), F.lower))))).alias("participants"))
-    base = base.withColumn("recipients", F.array_remove("participants", F.lower("sender")))
-    found = excerpts(rows, keys)
-    same = None
-    for k in keys:
-        part = base[k].eqNullSafe(found[k])
-        same = part if same is None else same & part
-    return base.join(found, same, "left").select(
-        *[base[c] for c in base.columns], F.coalesce("excerpts", F.array().cast("array<string>")).alias("excerpts"))
+        F.max(F.nullif("date_utc", F.lit(""))).alias("date_max"))
+    people = narrow.select(*keys, F.explode(F.transform(addresses(), F.lower)).alias("_a")).distinct().groupBy(*keys).agg(
+        F.array_sort(F.collect_list("_a")).alias("participants"))
+    found = _excerpted(excerpt_places(narrow.filter("_has_body"), keys), rows, keys, EXCERPT_CHARS)
+    for other in (people, found):
+        (column,) = [c for c in other.columns if c not in keys]
+        given = other.select(column, *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        base = base.join(given, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    none = F.array().cast("array<string>")
+    base = base.withColumns({c: F.coalesce(c, none) for c in ("participants", "excerpts")})
+    return base.withColumn("recipients", F.array_remove("participants", F.lower("sender")))

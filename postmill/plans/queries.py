@@ -454,8 +454,7 @@ def _export(spark, sf_dir):
 
 
 def _stats(spark, sf_dir):
-    records = _export(spark, sf_dir)
-    return packs.pack_stats(records, packs.assign_packs(records, c.LIMITS))
+    return packs.pack_stats(packs.assign_packs(_export(spark, sf_dir), c.LIMITS))
 
 
 @query(RECURSIVE + """

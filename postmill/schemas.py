@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-VERSION = 2
+#: Schema versions in order, with the tables each introduces.  Columns that a version adds are null in older rows.
+MIGRATIONS = (
+    ("001_initial", ("mbox_sources", "ingest_runs", "ingest_errors", "messages", "threads", "attachments", "labels",
+                     "message_labels", "categories", "category_aliases", "category_rules", "classifications",
+                     "category_proposals", "security_findings", "exports", "export_items")),
+    ("002_multi_account", ("accounts",)),
+)
 
 TABLES = {
     "accounts": "account_key string, display_name string, email_address string, provider string, notes string, created_at string",
@@ -31,11 +37,11 @@ TABLES = {
                         "sensitivity string, notebooklm_priority string, export_profile string, classifier_type string, "
                         "classifier_name string, confidence double, prompt_version string, summary string, raw_output_json string"),
     "category_proposals": ("id long, account_key string, proposed_path string, reason string, confidence double, status string, "
-                           "created_at string, note string"),
+                           "created_at string, reviewed_note string, reviewed_at string"),
     "security_findings": ("account_key string, target_type string, message_db_id long, finding_type string, severity string, "
                           "detector string, excerpt string"),
     "exports": ("id long, account_key string, export_type string, export_profile string, output_path string, limit_profile string, "
                 "status string, source_count long, message_count long, started_at string, finished_at string"),
     "export_items": "account_key string, export_id long, output_file string, category_path string",
-    "schema_migrations": "version int",
+    "schema_migrations": "version string, applied_at string",
 }

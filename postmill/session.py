@@ -46,3 +46,9 @@ def saved(rows: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(scratch(rows.sparkSession, "checkpoints"))
     return rows.checkpoint()
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly if a scan has fewer splits than the cluster has cores; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

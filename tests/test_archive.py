@@ -145,6 +145,101 @@ def test_resume(archive, tmp_path):
     assert archive.ingest(path, "me", resume=True)["skipped"] == 4
 
 
+@pytest.mark.parametrize("error", [KeyboardInterrupt, OSError])
+def test_interrupt_and_resume(archive, tmp_path, monkeypatch, error):
+    """Batches are committed with their checkpoint; what was not committed is not there, and a resumed run adds it."""
+    from postmill.operators import state
+
+    archive.config = CONFIG | {"ingest": {"batch_commit_size": 2}}
+    path = write(tmp_path / "box.mbox", [*mails(), mail("z@z", "five", "5\n", 5)])
+    shape, calls = archive._shaped, []
+
+    def broken(name, rows):
+        calls.append(name)
+        if name == "message_labels" and calls.count(name) == 2:  # within the second commit, when its messages are written already
+            raise error("stop")
+        return shape(name, rows)
+
+    monkeypatch.setattr(archive, "_shaped", broken)
+    if error is KeyboardInterrupt:
+        assert archive.ingest(path, "me") == {"seen": 2, "inserted": 2, "replaced": 0, "errors": 0, "skipped": 0}
+    else:
+        with pytest.raises(OSError, match="stop"):
+            archive.ingest(path, "me")
+    monkeypatch.undo()
+    run = archive.table("ingest_runs").first()
+    assert (run.status, run.last_mbox_key, run.messages_inserted) == ("interrupted", 1, 2)
+    assert {r.mbox_key for r in archive.table("messages").collect()} == {0, 1}
+    assert {r.thread_key for r in archive.table("threads").collect()} == {"<1@x>"}
+    assert [r.last_mbox_key for r in state.resume_points(archive.table("ingest_runs")).collect()] == [1]
+    assert archive.ingest(path, "me", resume=True) == {"seen": 3, "inserted": 3, "replaced": 0, "errors": 0, "skipped": 2}
+    rows = archive.table("messages").collect()
+    assert sorted(r.mbox_key for r in rows) == [0, 1, 2, 3, 4] and len({r.id for r in rows}) == 5
+    assert [(r.id, r.status, r.last_mbox_key) for r in archive.table("ingest_runs").collect()] == [(1, "completed", 4)]
+    assert sum(r.message_count for r in archive.table("threads").collect()) == 5
+    assert archive.table("message_labels").count() == 3
+
+
+def test_broken_mailbox(archive, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        archive.ingest(str(tmp_path / "none.mbox"), "me")
+
+
+def test_attachments_on_disk(archive, tmp_path, monkeypatch):
+    """Taken names are numbered, unwritable ones become error rows, and parts that cannot be read an error of the message."""
+    path = write(tmp_path / "box.mbox", mails())
+    folder = tmp_path / "files"
+    target = folder / "me" / "2024" / "4-x"
+    target.mkdir(parents=True)
+    (target / "a_b.pdf").write_bytes(b"older")
+    archive.ingest(path, "me", extract=True, attachments_dir=str(folder))
+    kept = sorted((Path(r.storage_path).name, Path(r.storage_path).read_bytes()) for r in archive.table("attachments").collect() if r.storage_path)
+    assert kept == [("a_b-1.pdf", b"one"), ("a_b-2.pdf", b"two")] and (target / "a_b.pdf").read_bytes() == b"older"
+    (tmp_path / "plain").write_bytes(b"")  # a file where a folder should be
+    archive.add_account("you")
+    archive.ingest(path, "you", extract=True, attachments_dir=str(tmp_path / "plain"))
+    rows = archive.table("attachments").filter("account_key = 'you'").collect()
+    assert sorted(r.extraction_status for r in rows) == ["empty", "error", "error"] and all(r.error_message for r in rows if r.size_bytes)
+    archive.add_account("they")
+    archive.ingest(path, "they", extract=True, to_disk=False)
+    assert {r.extraction_status for r in archive.table("attachments").filter("account_key = 'they'").collect()} == {"pending", "empty"}
+
+
+def test_attachment_errors(archive, tmp_path):
+    """A part whose name cannot be decoded is an error row; its message is kept."""
+    bad = mails()[3]
+    raw = bytes(bad).replace(b'filename="a b.pdf"', b"filename*0*=bogus''%41", 1)
+    raw = raw.replace(b"filename*0*=bogus''%41", b'filename="=?utf-8?b?A?="').replace(b"From here", b">From here")
+    (tmp_path / "box.mbox").write_bytes(b"From a\n" + raw + b"\n")
+    assert archive.ingest(str(tmp_path / "box.mbox"), "me", extract=True)["inserted"] == 1
+    errors = archive.table("ingest_errors").collect()
+    assert [(r.error_type, r.mbox_key) for r in errors] == [("AttachmentError", 0)] and errors[0].error_message
+
+
+def test_two_accounts_in_one_export(archive, tmp_path):
+    archive.add_account("you", "You", "you@x.example")
+    path = write(tmp_path / "box.mbox", mails())
+    archive.ingest(path, "me")
+    archive.ingest(path, "you")
+    both = archive.export_packs(LIMITS, str(tmp_path / "out"), ["me", "you"])
+    assert [(s["account_key"], s["files_written"], s["messages_exported"]) for s in both] == [("me", 3, 4), ("you", 3, 4)]
+    for s in both:
+        rows = list(csv.DictReader(open(s["manifest_csv"])))
+        assert {r["account_key"] for r in rows} == {s["account_key"]} and all(Path(r["source_path"]).is_file() for r in rows)
+    assert sorted((r.account_key, r.status, r.source_count) for r in archive.table("exports").collect()) == [("me", "completed", 3), ("you", "completed", 3)]
+    assert archive.table("export_items").groupBy("account_key", "export_id").count().count() == 2
+
+
+def test_migrations(spark, tmp_path):
+    a = Archive(spark, str(tmp_path / "new"))
+    assert a.migrate() == ["001_initial", "002_multi_account"] and a.migrate() == [] and a.initialize() == []
+    old = Archive(spark, str(tmp_path / "old"))  # messages of a first version: no account, no version table
+    old.store.write("messages", spark.createDataFrame([(1, "s")], "id long, subject string"))
+    assert old.migrate() == ["002_multi_account"]
+    assert [r.version for r in old.table("schema_migrations").orderBy("version").collect()] == ["001_initial", "002_multi_account"]
+    assert old.table("messages").first().account_key is None and old.table("messages").first().subject == "s"
+
+
 def test_classification(archive, tmp_path):
     archive.ingest(write(tmp_path / "box.mbox", mails()), "me")
     assert archive.classify("thread") == {"classified": 2, "skipped": 1}
@@ -211,11 +306,15 @@ def test_accounts_and_proposals(archive):
     assert archive.default_account()["account_key"] == "default"
     with pytest.raises(AccountError):
         archive.resolve_account(None)
-    rows = [(1, "me", "A/B", None, 0.5, "pending", "1", None), (2, "me", "C", None, None, "pending", "0", None), (3, "me", "D", None, 0.9, "pending", "2", None)]
+    rows = [(1, "me", "A/B", None, 0.5, "pending", "1", None, None), (2, "me", "C", None, None, "pending", "0", None, None),
+            (3, "me", "D", None, 0.9, "pending", "2", None, None)]
     archive._append("category_proposals", archive._rows("category_proposals", rows))
     assert [p["id"] for p in archive.review("me")[1]] == [3, 1, 2]
-    assert archive.decide(1, True) == "A/B"
-    assert archive.decide(1, False) is None and archive.decide(2, False) is None
+    assert archive.decide(1, True, "good one") == "A/B"
+    assert archive.decide(1, False, "late") is None and archive.decide(2, False) is None
+    reviewed = {r.id: r for r in archive.table("category_proposals").collect()}
+    assert (reviewed[1].status, reviewed[1].reviewed_note, reviewed[2].status, reviewed[2].reviewed_note) == ("approved", "good one", "rejected", "")
+    assert reviewed[1].reviewed_at and reviewed[2].reviewed_at and reviewed[3].reviewed_at is None
     with pytest.raises(Exception, match="pending"):
         archive.decide(1, True)
     assert [r.path for r in archive.table("categories").collect()] == ["a/b"]

@@ -166,6 +166,7 @@ def test_packs_across_chunks(spark):
     rows = [(rng.randrange(2), i, "c", rng.choice([None, "2024-01-0" + str(rng.randrange(1, 10))]), "me", "c", "2024", rng.randrange(0, 12), rng.randrange(1, 30))
             for i in range(400)]
     frame = spark.createDataFrame(rows, "_source int, id long, category_path string, date_utc string, account_key string, category string, band string, chunk_words long, chunk_bytes long")
+    frame = frame.withColumns({"thread_key": F.lit("t"), "was_scrubbed": F.lit(False)})
     limits = PackLimits("t", 9, 0, 9, 40, 30, 100, 90, 7)
     got = {r.id: r.pack for r in packs.assign_packs(frame, limits, chunk=20).collect()}
     order = sorted(rows, key=lambda r: (r[0], r[3] is None, r[3] or "", r[1]))
@@ -178,7 +179,21 @@ def test_state(spark, tmp_path):
     assert store.read("t", "a int").count() == 0 and store.tables() == []
     for n in range(4):
         store.write("t", store.read("t", "a int").unionByName(spark.createDataFrame([(n,)], "a int")))
-    assert sorted(r.a for r in store.read("t", "a int").collect()) == [0, 1, 2, 3] and store.versions("t") == [3, 4]
+    assert sorted(r.a for r in store.read("t", "a int").collect()) == [0, 1, 2, 3] and store.versions() == [3, 4]
+    for n in range(4, 20):  # appends write new rows only; parts of one size are merged
+        store.append("t", spark.createDataFrame([(n,)], "a int"))
+    assert sorted(r.a for r in store.read("t", "a int").collect()) == list(range(20)) and len(store.current()["t"]) < 8
+    assert len([p for p in (tmp_path / "t").iterdir()]) <= len({p for v in store.versions() for p in store.manifest(v)["t"]})
+    assert [r.b for r in store.read("t", "a int, b string").filter("a = 3").collect()] == [None]
+    with pytest.raises(ValueError, match="crash"), store.change() as made:  # nothing of a broken change is seen
+        made.replace("t", spark.createDataFrame([(-1,)], "a int"))
+        made.append("u", spark.createDataFrame([(1,)], "a int"))
+        raise ValueError("crash")
+    assert store.read("t", "a int").count() == 20 and store.tables() == ["t"]
+    with pytest.raises(RuntimeError, match="came first"), store.change() as late:
+        late.append("t", spark.createDataFrame([(20,)], "a int"))
+        store.append("t", spark.createDataFrame([(21,)], "a int"))
+    assert {r.a for r in store.read("t", "a int").collect()} == {*range(20), 21}
     rows = spark.createDataFrame([("s", 1, "running", 5), ("s", 2, "completed", 9), ("t", 3, "interrupted", 2)], "source_id string, id int, status string, last_mbox_key long")
     assert {(r.source_id, r.last_mbox_key) for r in state.resume_points(rows).collect()} == {("s", 5), ("t", 2)}
 
@@ -192,6 +207,19 @@ def test_taxonomy(spark):
     assert [taxonomy.visible(both, *a).count() for a in (("me",), ("me", False), (None,), ("x",))] == [3, 1, 3, 2]
 
 
+def test_address_lists():
+    import re as regex
+
+    rng = random.Random(3)
+    outside = regex.compile(r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    from email.utils import parseaddr
+
+    assert mime.address_list('"Bo, Jr" <Bo@x>, a@y,, <c@z>') == ["bo@x", "a@y", "c@z"] and mime.address_list("") == []
+    for _ in range(300):
+        text = "".join(rng.choice(['"', ",", "a@b", " ", "<c@d>", "n"]) for _ in range(rng.randrange(12)))
+        assert mime.address_list(text) == [x for x in (parseaddr(p.strip())[1].lower() for p in outside.split(text)) if x]
+
+
 def test_mail_headers():
     assert decoded("=?utf-8?q?Gr=C3=BC?= =?latin-1?q?=DFe?=") == "Grü ße" and decoded("=?nope?q?=E9?=") == "é" and decoded(None) == ""
     assert address_list('"A, B" <A@x>, , c@Y, broken') == ["a@x", "c@y", "broken"]
