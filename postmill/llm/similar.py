@@ -27,8 +27,9 @@ from postmill.llm.components import connected_components
 
 SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
 BANDS, BAND = 20, 5
-#: Of one bit of each of the 100 signature values, a pair at ``SIMILARITY`` differs in 10 (standard deviation 3).
-MAX_BITS = 25
+#: Of one bit of each of the 100 signature values, a pair at ``SIMILARITY`` differs in 10 (standard deviation 3), and
+#: in more than so many once in ten thousand times.
+MAX_BITS = 22
 #: Buckets of more members are compared in blocks of so many.
 SMALL_BUCKET, BLOCK = 48, 512
 
@@ -77,15 +78,19 @@ def row_key() -> Column:
 
 
 def _shingle_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, shingles) for the rows (node, _key), which name one text of each set."""
+    """(node, shingles) for the rows (node, _key), which name one text of each set.
+
+    Candidates are verified by the upper halves of the hashes, which are half as much to move; in a pair of texts of a
+    thousand shingles two different ones coincide once in some four thousand pairs.
+    """
     texts = docs.select(row_key().alias("_key"), "text").join(rows, "_key").select("node", "text")
-    found = map_texts(texts, ["node"], "shingles array<long>",
-                      lambda: lambda batch: [[shingles(t).view(np.int64) for t in batch]])
+    found = map_texts(texts, ["node"], "shingles array<int>", lambda: lambda batch: [
+        [np.unique(shingles(t) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in batch]])
     return saved(found.dropDuplicates(["node"]))
 
 
 def _may_link(a: str, b: str, similarity: float) -> Column:
-    """What a pair of at least that similarity fulfils: by size always, by signature bits but for some in a million."""
+    """What a pair of at least that similarity fulfils: by size always, by signature bits but for one in ten thousand."""
     n = F.least(f"{a}.n", f"{b}.n") >= F.greatest(f"{a}.n", f"{b}.n") * F.lit(similarity)
     far = [F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(2)]
     return n & (far[0] + far[1] <= MAX_BITS)
@@ -167,8 +172,8 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         close.select(F.col("v").alias("node"))).distinct()
     sets = _shingle_sets(docs, nodes.select("node", "_key").join(wanted, "node"))
     # the first links: of the fingerprints, and of each bucket's members with one of them
-    pivots = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "x.node"), "x")).alias("p")).select(
-        "bucket", F.col("p.x").alias("b"))
+    # (the smallest node of all: buckets with the same members have the same one, and their pairs are one pair)
+    pivots = members.groupBy("bucket").agg(F.min_by("x", "x.node").alias("b"))
     spokes = _pairs(members.withColumnRenamed("x", "a").join(saved(pivots), "bucket").filter(
         (F.col("a.node") != F.col("b.node")) & _may_link("a", "b", similarity)))
     first = saved(_verified(close.unionByName(spokes).distinct(), sets, similarity))
