@@ -1,8 +1,8 @@
 """I-Match document fingerprints (DataFrame functions only).
 
-Document frequencies of all terms are counted over the distinct texts of the corpus.  The lexicon holds the terms within a band of inverse
-document frequency; a text keeps its distinct lexicon terms, sorts them, and hashes those of several randomised
-subsets of the lexicon.  Subsets come at several rates, so short and long texts both have slots with few terms.
+Document frequencies of all terms are counted over the distinct texts of the corpus.  The lexicon holds the terms
+within a band of inverse document frequency; a text keeps its distinct lexicon terms, sorts them, and hashes those of
+several randomised subsets of the lexicon.  Subsets come at several rates, so short and long texts both have slots with few terms.
 A text with fewer than ``MIN_TERMS`` lexicon terms is fingerprinted by subsets of all its terms instead.
 Terms are counted by their 64-bit hash and stand in fingerprints by its upper half.
 """
@@ -97,7 +97,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Rows are dealt into ranges of doc_id whose bounds are ids that occur, and each range also gets the first row
     of the next one, so texts are shuffled once and every range is one small window.  Nulls come first; rows of one
-    doc_id are ordered by the hash of their texts.
+    doc_id are ordered by the hash of their texts.  doc_id is an integer; rows without one form one range, since
+    ranges are those of doc_id.
     """
     own = docs.select("doc_id", span_of(F.col("text")).alias("text"))
     count = 4 * partitions(docs.sparkSession)
@@ -116,7 +117,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         lambda acc: acc["lo"])
     last = max(1, len(starts))
     placed = own.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(found))
-    is_first = F.array_contains(ids, F.col("doc_id")) if starts else F.lit(False)
+    is_first = F.get(ids, F.col("range") - 1) == F.col("doc_id")
     opens = (F.col("doc_id").isNull() if bounds["nulls"] else F.lit(False)) | F.coalesce(
         is_first & ((F.col("range") > 1) | F.lit(not bounds["nulls"])), F.lit(False))
     before = F.when(F.col("range") > 1, F.col("range") - 1).otherwise(F.lit(last))
@@ -138,9 +139,10 @@ def edited(text: Column, other: Column) -> Column:
 def fingerprint_documents(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    Null text counts as empty.  Equal texts have equal fingerprints; texts with fewer than
-    ``MIN_TERMS`` lexicon terms are compared by subsets of all their terms.  The edit and the next document are those of :func:`with_next`.  In a table of one row the
-    next document is the row itself.
+    Null text counts as empty.  Equal texts have equal fingerprints, so repeated rows have; texts with fewer than
+    ``MIN_TERMS`` lexicon terms are compared by subsets of all their terms.  doc_id is an integer or null.  The edit and
+    the next document are those of :func:`with_next`; in a table of one row the next document is the row itself.  Other
+    columns are not read; an empty table gives an empty result.
     """
     words = lexicon(docs, min_share, max_share)
     small = words.count() <= BROADCAST_TERMS
@@ -148,32 +150,33 @@ def fingerprint_documents(docs: DataFrame, min_share: float = MIN_SHARE, max_sha
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), following)).withColumn(
         "own", terms(F.col("text"))).withColumn("new", terms(F.col("edited")))
     columns = {
-        "rid": F.monotonically_increasing_id(),
         "n_chars": F.length("text").cast("long"), "text_key": F.xxhash64("text"), "next_key": F.xxhash64(following),
         "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256),
         "own_wide": wide_slots(F.col("own")), "new_wide": wide_slots(F.col("new")),
-        "own_set": F.struct(F.lit(0).alias("which"), F.col("own").alias("terms")),
-        "new_set": F.struct(F.lit(1).alias("which"), F.col("new").alias("terms")),
     }
-    carried = ["doc_id", "next_id", *list(columns)[1:7]]
-    rows = rows.withColumns(columns).select(
-        "rid", F.struct(*carried).alias("row"),
-        F.explode(F.array("own_set", "new_set")).alias("s"))
-    # the row itself travels with one stand-in term, which the lexicon is made to hold
-    stand_in = F.lit(0).cast("long")
-    each = rows.select("rid", "row", "s.which", F.explode(F.concat(F.array(stand_in), "s.terms")).alias("term"))
-    each = each.withColumn("row", F.when((F.col("term") == 0) & (F.col("which") == 0), F.col("row")))
-    known = words.unionByName(docs.sparkSession.range(1).select(stand_in.alias("term"))).distinct()
-    kept = each.join(F.broadcast(known) if small else known, "term")
+    # each row goes on as its terms, and once as itself with a null term
+    parts = rows.withColumns(columns | {"rid": F.monotonically_increasing_id()}).select(
+        "rid", F.struct("doc_id", "next_id", *columns).alias("row"),
+        F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("own").alias("terms")),
+                          F.struct(F.lit(1).alias("which"), F.col("new").alias("terms")))).alias("s"))
+    none = F.lit(None).cast("long")
+    own_terms = F.when(F.col("s.which") == 0, F.concat(F.array(none), "s.terms")).otherwise(F.col("s.terms"))
+    each = parts.select("rid", "row", "s.which", F.explode(own_terms).alias("term")).withColumn(
+        "row", F.when(F.col("term").isNull(), F.col("row")))
+    if small:
+        known = words.withColumn("known", F.lit(True))
+        kept = each.join(F.broadcast(known), "term", "left").filter("known or term is null").drop("known")
+    else:  # rows themselves go around the join, where they would be one key
+        kept = each.filter("term is not null").join(words, "term").unionByName(each.filter("term is null"))
 
     def of(which: int) -> Column:
-        return F.collect_list(F.when((F.col("which") == which) & (F.col("term") != 0), short(F.col("term"))))
+        return F.collect_list(F.when(F.col("which") == which, short(F.col("term"))))
 
     grouped = kept.groupBy("rid").agg(F.first("row", ignorenulls=True).alias("row"), of(0).alias("own"), of(1).alias("new"))
-    marked = saved(grouped.select(
-        "row.*", (F.size("own") < MIN_TERMS).alias("own_few"), (F.size("new") < MIN_TERMS).alias("new_few"),
-        slots_of(F.col("own"), F.col("row.own_wide")).alias("own_slots"),
-        slots_of(F.col("new"), F.col("row.new_wide")).alias("new_slots")))
+    given = grouped.select("row.*", "own", "new")
+    marked = saved(given.select(
+        "doc_id", "next_id", *columns, (F.size("own") < MIN_TERMS).alias("own_few"), (F.size("new") < MIN_TERMS).alias("new_few"),
+        slots_of(F.col("own"), F.col("own_wide")).alias("own_slots"), slots_of(F.col("new"), F.col("new_wide")).alias("new_slots")))
     others = marked.groupBy(F.col("doc_id").alias("next_id"), F.col("text_key").alias("next_key")).agg(
         F.first("own_slots").alias("next_slots"), F.first("own_wide").alias("next_wide"),
         F.first("own_few").alias("next_few"))

@@ -1,9 +1,14 @@
 import hashlib
 import random
+import struct
+from collections import Counter
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
-from postmill.llm.imatch import fingerprint_documents, lexicon, likeness, with_next
+from postmill.llm import imatch
+from postmill.llm.imatch import BITS, MIN_TERMS, RATES, REPEATS, fingerprint_documents, lexicon, likeness, with_next
 
 
 def data(n, seed=1):
@@ -75,3 +80,73 @@ def test_copies_and_few_terms(spark):
         assert len({r.fingerprint for r in rows}) == len(group)
     small = spark.createDataFrame([(k, f"a b c d e own{k}" if k < 2 else f"only{k}") for k in range(20)], "doc_id long, text string")
     assert lexicon(small).count() == 5
+
+
+def _signed(x, bits=64):
+    return x - (1 << bits) if x >> (bits - 1) else x
+
+
+def plain_slots(kept, repeats):
+    """Hashes of the whole set and of its subsets, chained over the sorted terms as the hash of an array is."""
+    def h(data, seed=42):
+        return xxhash.xxh64_intdigest(data, seed)
+
+    own = {t: h(struct.pack("<i", t)) for t in kept}
+    subsets = [sorted(kept)] + [[t for t in sorted(kept) if (own[t] >> BITS * q & (1 << BITS) - 1) < 1 << BITS >> r]
+                                for q in range(repeats) for r in RATES]
+    out = []
+    for s in subsets:
+        seed = 42
+        for t in s:
+            seed = h(struct.pack("<q", _signed(own[t])), h(struct.pack("<i", t), seed))
+        out.append(_signed(seed >> 32, 32) if s else 0)
+    return out
+
+
+def plain_fingerprints(rows, low, high):
+    """Fingerprints and likenesses of (doc_id, text) rows by the book: counts, bands, subsets, shares of equal slots."""
+    ordered = sorted(rows)
+    texts = [t or "" for _, t in ordered]
+    term = lambda w: _signed(xxhash.xxh64_intdigest(w.encode(), 42))
+    terms = lambda t: {term(w) for w in t.lower().split()}
+    df = Counter(x for t in set(texts) for x in terms(t))
+    n = len(set(texts))
+    band = {x for x, c in df.items() if max(2, low * n) <= c <= max(2, high * n)}
+
+    def slots(text):
+        all_terms = terms(text)
+        kept = {x >> 32 for x in all_terms & band}
+        wide = plain_slots({x >> 32 for x in all_terms}, 1)
+        wide = wide[:1] + wide[1:] * REPEATS
+        few = len(all_terms & band) < MIN_TERMS
+        return few, wide, wide if few else plain_slots(kept, REPEATS)
+
+    def alike(a, b):
+        x, y = (a[1], b[1]) if a[0] or b[0] else (a[2], b[2])
+        used = [(p, q) for p, q in zip(x, y) if p or q]
+        return 1.0 if x == y else sum(p == q for p, q in used) / len(used) if used else 0.0
+
+    out = {}
+    for k, (i, _) in enumerate(ordered):
+        text, following = texts[k], texts[(k + 1) % len(texts)]
+        half = len(text) // 2
+        own, new, after = (slots(t) for t in (text, text[:len(text) - half] + following[:half], following))
+        mark = lambda s: hashlib.md5(",".join(map(str, s)).encode()).hexdigest()
+        out[i] = (mark(own[2]), mark(new[2]), alike(own, new), alike(own, after))
+    return out
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_fingerprints_by_the_book(spark, monkeypatch, most):
+    """Against plain Python, with the lexicon broadcast and with a shuffled one."""
+    monkeypatch.setattr(imatch, "BROADCAST_TERMS", most)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for i in range(150)]
+    rows += [(500, rows[3][1]), (501, rows[4][1]), (502, None), (503, "one w1"), (504, "Own words only"), (505, "w1 w2 w3 é " * 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("terms", F.lit("clash")).withColumn("row", F.lit(1))
+    got = {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in fingerprint_documents(docs, 0.02, 0.15).collect()}
+    want = plain_fingerprints(rows, 0.02, 0.15)
+    assert set(got) == set(want)
+    for i in want:
+        assert got[i][:2] == want[i][:2] and got[i][2:] == pytest.approx(want[i][2:]), i
