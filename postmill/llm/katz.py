@@ -4,6 +4,8 @@ Tokens are lower-case words and an end of document, which is also the context of
 belongs to one context lives in one table partition (its bucket, by hash of the context): bigram counts, the count of
 the context itself, its backoff weight, and the occurrences that are to be scored.  What a bucket needs from others
 are the unigram counts of the words that follow its contexts; it asks their buckets once for each distinct word.
+A frequent context (``HOT_SHARE`` of the tokens) is dealt over all buckets by the word that follows; its count and the
+sums of its weight are added up over the buckets, a few numbers for each of at most 1 / ``HOT_SHARE`` words.
 
 The exchange is built for bytes: a block of documents is turned into arrays of word hashes, sorted by context, and
 cut into one compressed piece a bucket, so a token costs a few bytes instead of a row.  Pieces hold distinct bigrams
@@ -29,6 +31,9 @@ from postmill.llm.common import partitions, small_batches
 K = 5
 #: Tokens of one block.
 BLOCK_TOKENS = 1_000_000
+#: Contexts with at least this share of the tokens are dealt over the buckets.  One document in ``HOT_SAMPLE`` is
+#: counted to find them; which ones are found decides where they are processed, and no result.
+HOT_SHARE, HOT_SAMPLE = 1 / 512, 64
 END = xxhash.xxh64_intdigest(b" ", 42)  # no word holds a blank
 
 
@@ -49,12 +54,17 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Global numbers: tokens N, types V, discounts of unigrams and bigrams, probability of an unknown word."""
+    """Global numbers: tokens N, types V, discounts of unigrams and bigrams, probability of an unknown word.
 
-    def __init__(self, stats: np.ndarray):
-        self.tokens, self.types = int(stats[0]), int(stats[1])
-        uni = stats[2:2 + K + 2]
-        self.uni, self.bi = discounts(uni), discounts(stats[2 + K + 2:2 + 2 * (K + 2)])
+    ``hot``: sorted hashes of the frequent contexts, whose counts are the end of ``stats``.
+    """
+
+    def __init__(self, stats: np.ndarray, hot: np.ndarray):
+        self.hot, self.hot_count = hot, stats[WIDTH:].copy()
+        self.hot_mass, self.hot_lower = np.zeros(len(hot)), np.zeros(len(hot))
+        uni = stats[2:2 + K + 2] + np.array([0, *[int((self.hot_count == r).sum()) for r in range(1, K + 2)]])
+        self.tokens, self.types = int(stats[0]), int(stats[1]) + int((self.hot_count > 0).sum())
+        self.uni, self.bi = discounts(uni), discounts(stats[2 + K + 2:WIDTH])
         lost = sum((1 - self.uni[r]) * r * float(uni[r]) for r in range(1, K + 1))
         least = 1 / (self.tokens + 1)
         unknown = lost / self.tokens if self.tokens else 1.0
@@ -70,6 +80,10 @@ class Model:
         return np.where(count > 0, self.scale * d * count / max(1, self.tokens), self.unknown)
 
 
+#: tokens, types, and counts of counts 0..K+1 of unigrams and of bigrams
+WIDTH = 2 + 2 * (K + 2)
+
+
 # -- pieces ----------------------------------------------------------------------------------------------------
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -103,7 +117,16 @@ def _runs(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
 
 
-def block_pieces(ids: list[np.ndarray], hashes: np.ndarray, train: list[bool], buckets: int) -> Iterator[tuple[int, bytes]]:
+def _places(hashes: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are among the sorted ``hot`` ones, and their places there."""
+    if not len(hot):
+        return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+    return hot[at] == hashes, at
+
+
+def block_pieces(ids: list[np.ndarray], hashes: np.ndarray, train: list[bool], buckets: int,
+                 hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(bucket, piece) of a block: each document's tokens as places in ``hashes``, the end (place 0) last, and
     whether it is trained on."""
     sizes = np.array([len(t) for t in ids])
@@ -124,16 +147,25 @@ def block_pieces(ids: list[np.ndarray], hashes: np.ndarray, train: list[bool], b
     type_ctx = (type_key >> np.uint64(32)).astype(np.int64)
     type_word = (type_key & np.uint64(0xFFFFFFFF)).astype(np.int64)
     flags = np.array(train, np.uint8)
-    type_bucket = bucket_of(words[type_ctx], buckets)
+    place = words[type_ctx]
+    dealt = _places(words, hot)[0][type_ctx]
+    place[dealt] = words[type_word[dealt]] ^ (place[dealt] * _MIX)
+    type_bucket = bucket_of(place, buckets)
+    order = np.argsort(type_bucket, kind="stable")  # contexts stay sorted within a bucket
+    type_ctx, type_word, type_bucket, sizes = type_ctx[order], type_word[order], type_bucket[order], type_n[order]
+    ends = np.cumsum(sizes)
+    doc = doc[np.repeat(starts[order] - (ends - sizes), sizes) + np.arange(len(doc))]
     for s in _runs(type_bucket):
         b = int(type_bucket[s])
         e = int(np.searchsorted(type_bucket, b, side="right"))
-        at = slice(starts[s], starts[e] if e < len(starts) else len(key))
         ctx_at = _runs(type_ctx[s:e])
         seconds, second_id = np.unique(type_word[s:e], return_inverse=True)
         yield b, _packed(
             words[type_ctx[s:e][ctx_at]], np.diff(np.append(ctx_at, e - s)), words[seconds], second_id,
-            type_n[s:e], doc[at], np.packbits(flags), np.array([len(ids)]))
+            sizes[s:e], doc[ends[s] - sizes[s]:ends[e - 1]], np.packbits(flags), np.array([len(ids)]))
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Piece:
@@ -144,54 +176,93 @@ class Piece:
         self.docs = int(size[0])
         self.train = np.unpackbits(bits)[: self.docs]
         self.first = np.repeat(ctx, ctx_types)
-        self.second = seconds[second_id]
+        self.seconds, self.second = seconds, seconds[second_id]
         self.n = n.astype(np.int64)
         starts = np.concatenate(([0], np.cumsum(self.n)[:-1]))
         self.trained = np.add.reduceat(self.train[self.doc].astype(np.int64), starts)
 
 
 class Bucket:
-    """All bigrams of a bucket, merged."""
+    """All bigrams of a bucket, merged; with ``only_hot`` those of frequent contexts."""
 
-    def __init__(self, pieces: list[Piece]):
+    def __init__(self, pieces: list[Piece], hot: np.ndarray, only_hot: bool = False):
         first = np.concatenate([p.first for p in pieces])
         second = np.concatenate([p.second for p in pieces])
+        trained = np.concatenate([p.trained for p in pieces])
+        self.words = np.unique(np.concatenate([p.seconds for p in pieces]))
+        self.word_hot, self.word_place = _places(self.words, hot)
+        if only_hot:
+            keep = _places(first, hot)[0]
+            first, second, trained = first[keep], second[keep], trained[keep]
         order = np.lexsort((second, first))
         first, second = first[order], second[order]
-        start = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]))))
-        self.count = np.add.reduceat(np.concatenate([p.trained for p in pieces])[order], start)
+        new = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]))) if len(first) else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        self.count = np.add.reduceat(trained[order], start) if len(start) else np.zeros(0, np.int64)
         group = np.zeros(len(order), np.int64)
-        group[order] = np.cumsum(np.concatenate(([0], np.isin(np.arange(1, len(order)), start).astype(np.int64))))
+        group[order] = np.cumsum(new) - 1
         self.group, self.first, self.second = group, first[start], second[start]
         self.ctx_start = _runs(self.first)
-        self.ctx = np.cumsum(np.isin(np.arange(len(start)), self.ctx_start)) - 1
+        self.ctx = np.repeat(np.arange(len(self.ctx_start)), np.diff(np.append(self.ctx_start, len(start))))
         self.contexts = self.first[self.ctx_start]
-        self.ctx_count = np.add.reduceat(self.count, self.ctx_start)
-        self.words = np.unique(self.second)
+        self.ctx_hot, self.ctx_place = _places(self.contexts, hot)
+        self.hot_size = len(hot)
+        self.ctx_count = self._summed(self.count)
+
+    def _summed(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.ctx_start) if len(self.ctx_start) else values[:0]
+
+    def _of_hot(self, values: np.ndarray) -> np.ndarray:
+        """Values of the contexts as values of all frequent ones."""
+        out = np.zeros(self.hot_size, values.dtype)
+        out[self.ctx_place[self.ctx_hot]] = values[self.ctx_hot]
+        return out
 
     def stats(self) -> np.ndarray:
-        """tokens, types, counts of counts 0..K+1 of unigrams, then of bigrams."""
-        known = self.ctx_count[self.ctx_count > 0]
+        """tokens, types, counts of counts 0..K+1 of unigrams, then of bigrams, then counts of the frequent contexts.
+
+        Types and unigrams are those of the other contexts, which lie in one bucket each.
+        """
+        known = self.ctx_count[(self.ctx_count > 0) & ~self.ctx_hot]
         of = lambda a: [0, *[int((a == r).sum()) for r in range(1, K + 2)]]
-        return np.array([known.sum(), len(known), *of(known), *of(self.count)], np.int64)
+        return np.array([self.ctx_count.sum(), len(known), *of(known), *of(self.count), *self._of_hot(self.ctx_count)], np.int64)
 
-    def probabilities(self, model: Model, word_count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each bigram, and log10 backoff weight of each context.
+    def asked(self) -> np.ndarray:
+        return self.words[~self.word_hot]
 
-        ``word_count``: training counts of self.words.
-        """
+    def _parts(self, model: Model, answers: np.ndarray):
+        """Count of each context, and of each bigram the lower probability and the discounted share, with their sums."""
+        word_count = np.zeros(len(self.words), np.int64)
+        word_count[~self.word_hot] = answers
+        word_count[self.word_hot] = model.hot_count[self.word_place[self.word_hot]]
         lower = model.unigram(word_count[np.searchsorted(self.words, self.second)])
-        r, c1 = self.count, self.ctx_count
+        c1 = self.ctx_count.copy()
+        c1[self.ctx_hot] = model.hot_count[self.ctx_place[self.ctx_hot]]
+        r = self.count
         d = model.bi[np.where(r <= K, r, 0)]
         seen = np.where(r > 0, d * r / np.maximum(c1[self.ctx], 1), 0.0)
-        mass = np.add.reduceat(seen, self.ctx_start)
-        rest = 1 - np.add.reduceat(np.where(r > 0, lower, 0.0), self.ctx_start)
+        return c1, lower, seen, self._summed(seen), self._summed(np.where(r > 0, lower, 0.0))
+
+    def hot_sums(self, model: Model, answers: np.ndarray) -> np.ndarray:
+        """Discounted mass and lower mass of the bigrams of frequent contexts that lie in this bucket."""
+        _, _, _, mass, low = self._parts(model, answers)
+        return np.concatenate((self._of_hot(mass), self._of_hot(low)))
+
+    def probabilities(self, model: Model, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each bigram, and the count of each context.
+
+        ``answers``: training counts of the words that were asked for.
+        """
+        c1, lower, seen, mass, low = self._parts(model, answers)
+        mass[self.ctx_hot] = model.hot_mass[self.ctx_place[self.ctx_hot]]
+        low[self.ctx_hot] = model.hot_lower[self.ctx_place[self.ctx_hot]]
+        rest = 1 - low
         least = 1 / (c1 + 1.0)
         left = np.maximum(1 - mass, least)  # a context without discounted mass gives a little to unseen words
         scale = np.where(mass > 0, (1 - left) / np.maximum(mass, 1e-300), 1.0)
         weight = np.where(c1 > 0, left / np.maximum(rest, 1e-300), 1.0)
-        p = np.where(r > 0, seen * scale[self.ctx], weight[self.ctx] * lower)
-        return np.log10(p), np.log10(weight)
+        p = np.where(self.count > 0, seen * scale[self.ctx], weight[self.ctx] * lower)
+        return np.log10(p), c1
 
 
 # -- passes over the buckets -----------------------------------------------------------------------------------
@@ -207,17 +278,18 @@ def _sorted_out(records: Iterable) -> dict[int, dict[str, list]]:
     return found
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, hot: np.ndarray):
     def run(records):
         for b, kinds in _sorted_out(records).items():
             if "piece" not in kinds:
                 continue
-            bucket = Bucket([Piece(x[1]) for x in kinds["piece"]])
+            bucket = Bucket([Piece(x[1]) for x in kinds["piece"]], hot)
             yield b, ("stats", bucket.stats())
-            to = bucket_of(bucket.words, buckets)
+            asked = bucket.asked()
+            to = bucket_of(asked, buckets)
             for s in _runs(to):
                 e = int(np.searchsorted(to, to[s], side="right"))
-                yield int(to[s]), ("ask", (b, _packed(bucket.words[s:e])))
+                yield int(to[s]), ("ask", (b, _packed(asked[s:e])))
     return run
 
 
@@ -240,6 +312,19 @@ def _answer(records):
             yield asker, ("answer", (b, _packed(np.where(words[i] == wanted, total[i], 0))))
 
 
+def _answered(kinds: dict[str, list]) -> np.ndarray:
+    answers = dict(kinds.get("answer", []))
+    return np.concatenate([np.zeros(0, np.int64), *[_unpacked(answers[b])[0].astype(np.int64) for b in sorted(answers)]])
+
+
+def _hot_sums(model: Model):
+    def run(records):
+        for _, kinds in _sorted_out(records).items():
+            if "piece" in kinds:
+                yield Bucket([Piece(x[1]) for x in kinds["piece"]], model.hot, True).hot_sums(model, _answered(kinds))
+    return run
+
+
 def _score(model: Model):
     def run(records):
         for _, kinds in _sorted_out(records).items():
@@ -248,17 +333,15 @@ def _score(model: Model):
             if "piece" not in kinds:
                 continue
             pieces = [Piece(x[1]) for x in kinds["piece"]]
-            bucket = Bucket(pieces)
-            answers = dict(kinds["answer"])
-            counts = np.concatenate([_unpacked(answers[b])[0] for b in sorted(answers)]).astype(np.int64)
-            logs, _ = bucket.probabilities(model, counts)
-            own = np.log10(bucket.ctx_count + 0.5) - model.base
+            bucket = Bucket(pieces, model.hot)
+            logs, counts = bucket.probabilities(model, _answered(kinds))
+            own = np.log10(counts + 0.5) - model.base
             at = 0
             for (block, _), piece in zip(kinds["piece"], pieces, strict=True):
                 group = np.repeat(bucket.group[at:at + len(piece.n)], piece.n)
                 at += len(piece.n)
                 sums = [np.bincount(piece.doc, weights=w, minlength=piece.docs) for w in (
-                    own[bucket.ctx[group]], logs[group], bucket.ctx_count[bucket.ctx[group]] > 0)]
+                    own[bucket.ctx[group]], logs[group], counts[bucket.ctx[group]] > 0)]
                 some = np.unique(piece.doc)
                 yield block, ("sum", (some.astype(np.uint32), *[s[some] for s in sums[:2]], sums[2][some].astype(np.uint32)))
     return run
@@ -279,12 +362,24 @@ def _rows(tokens: int):
     return run
 
 
+def frequent_contexts(docs: DataFrame, share: float = HOT_SHARE, sample: int = HOT_SAMPLE) -> np.ndarray:
+    """Sorted hashes of the words with at least ``share`` of the tokens of a sample of the documents, and of the end."""
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = F.filter(F.split(F.translate("text", upper, upper.lower()), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    counted = some.select(F.explode(F.transform(words, lambda w: F.xxhash64(w))).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    found = counted.filter(F.col("n") >= max(1.0, share * total)).collect()  # at most 1 / share
+    return np.array(sorted({END, *[r["h"] % (1 << 64) for r in found]}), np.uint64)
+
+
 def score_documents(docs: DataFrame, train: str = "train") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text, ``train``).
 
     Rows whose ``train`` is true are learned from; null is false.  Null text counts as empty and has one token, the
     end.  base_score is the add-half unigram score, score the model's log10 probability of the text; an unknown word
-    has the probability of all unknown words.  Repeated rows count and are scored each.
+    has the probability of all unknown words.  Repeated rows count and are scored each; other columns are not read;
+    an empty table gives an empty result.
     """
     import pyarrow as pa
 
@@ -305,7 +400,7 @@ def score_documents(docs: DataFrame, train: str = "train") -> DataFrame:
             block = task << 24 | made
             hashes = np.array([digest(w, 42) for w in vocabulary], np.uint64)
             out = [(block % buckets, "meta", block, pickle.dumps((names, [len(t) for t in tokens]), 5))]
-            for b, data in block_pieces(tokens, hashes, flags, buckets):
+            for b, data in block_pieces(tokens, hashes, flags, buckets, hot):
                 out.append((b, "piece", block, data))
                 if len(out) == 8:
                     yield batch_of(out)
@@ -338,13 +433,16 @@ def score_documents(docs: DataFrame, train: str = "train") -> DataFrame:
     rows = f"doc_id {given.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if not given.take(1):
         return spark.createDataFrame([], rows)
+    hot = frequent_contexts(given, HOT_SHARE, HOT_SAMPLE)
     packed = given.mapInArrow(blocks, "bucket long, kind string, block long, data binary")
     spread = packed.rdd.map(lambda r: (r[0], (r[1], (r[2], bytes(r[3]))))).partitionBy(buckets, _place)
-    asked = spread.mapPartitions(_ask(buckets)).partitionBy(buckets, _place)
-    width = 2 + 2 * (K + 2)
-    stats = asked.filter(lambda x: x[1][0] == "stats").map(lambda x: x[1][1]).fold(
-        np.zeros(width, np.int64), lambda a, b: a + b)
-    model = Model(stats)
+    asked = spread.mapPartitions(_ask(buckets, hot)).partitionBy(buckets, _place)
+    add = lambda a, b: a + b
+    stats = asked.filter(lambda x: x[1][0] == "stats").map(lambda x: x[1][1]).fold(np.zeros(WIDTH + len(hot), np.int64), add)
+    model = Model(stats, hot)
     answered = spread.union(asked).mapPartitions(_answer).partitionBy(buckets, _place)
-    scored = spread.union(answered).mapPartitions(_score(model)).partitionBy(buckets, _place)
+    ready = spread.union(answered)
+    sums = ready.mapPartitions(_hot_sums(model)).fold(np.zeros(2 * len(hot)), add)
+    model.hot_mass, model.hot_lower = sums[:len(hot)], sums[len(hot):]
+    scored = ready.mapPartitions(_score(model)).partitionBy(buckets, _place)
     return spark.createDataFrame(scored.mapPartitions(_rows(model.tokens)), rows)
