@@ -1,7 +1,9 @@
 """Connected components of a graph of longs by alternating large-star and small-star steps.
 
 Each step is a grouped minimum and a join on the vertex.  The minima are written first, so that the join has plain
-exchanges on both sides and a vertex with very many neighbours can be split; no neighbourhood is gathered.  The number of rounds grows with the logarithm of the graph's size.
+exchanges on both sides and a vertex with very many neighbours can be split; no neighbourhood is gathered.  The number
+of rounds grows with the logarithm of the graph's size; after ``ROUNDS`` of them, which no graph that fits on disks
+needs, the job fails rather than give unfinished components.
 """
 
 from __future__ import annotations

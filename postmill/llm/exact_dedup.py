@@ -84,7 +84,11 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_bits: int = 64) ->
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_duplicates` keeps, all columns, one row of each group."""
+    """The rows of ``docs`` that :func:`exact_duplicates` keeps, all columns, one row of each group.
+
+    Null and empty texts are one group; a null doc_id is smaller than any other; of rows that are equal in both, any
+    one stays.  An empty table gives an empty result.
+    """
     from pyspark.sql import Window
 
     kept = exact_duplicates(docs, text).filter("kept").select(_row_key(F.col("text_sha256")).alias("_key"))

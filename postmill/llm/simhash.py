@@ -44,13 +44,16 @@ def _signed(value: int) -> int:
 
 
 def fingerprints(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE) -> DataFrame:
-    """Columns ``keep`` (default doc_id) and fp of every row."""
+    """Columns ``keep`` (default doc_id) and fp of every row; null text counts as empty, whose fingerprint is zero.
+
+    Repeated rows give repeated results; columns that are not kept are not read; an empty table gives an empty result.
+    """
     return map_texts(docs, keep or ["doc_id"], "fp long",
                      lambda: lambda texts: [[fingerprint(t, shingle) for t in texts]])
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """(u, v): all pairs of the distinct values of fp that differ in 1 or 2 bits."""
+    """(u, v): all pairs of the distinct values of fp that differ in 1 or 2 bits, each once; a null fp links to none."""
     fp = F.col("fp")
     first = F.shiftrightunsigned(fp, HALF)
     second = fp.bitwiseAND(F.lit((1 << HALF) - 1))
@@ -74,7 +77,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     component_id is the smallest doc_id that can be reached over links, the row's own included.  Null text counts
     as empty: fingerprint zero, linked like any other.  A null doc_id is never a component_id unless all rows of
-    the component have none.  Repeated rows give repeated results; an empty table gives an empty one.
+    the component have none.  Repeated rows give repeated results; other columns are not read; an empty table gives an
+    empty result.
     """
     marked = saved(fingerprints(docs, shingle=shingle))
     distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
@@ -84,10 +88,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         distinct.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left")
         .select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
     return marked.join(known, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is that of their component, with all columns."""
-    kept = near_duplicates(docs, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_k")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_k"]), "left_semi")
