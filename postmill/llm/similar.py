@@ -166,25 +166,27 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     close = saved(_by_simhash(nodes))
     dealt = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
-    held = saved(dealt.join(shared, "bucket"))
-    members = saved(held.join(nodes.select("node", "n", "bits"), "node").select("bucket", F.struct("node", "n", "bits").alias("x")))
-    wanted = held.select("node").unionByName(close.select(F.col("u").alias("node"))).unionByName(
+    members = saved(dealt.join(shared, "bucket").join(nodes.select("node", "n", "bits"), "node").select(
+        "bucket", F.struct("node", "n", "bits").alias("x")))
+    wanted = members.select("x.node").unionByName(close.select(F.col("u").alias("node"))).unionByName(
         close.select(F.col("v").alias("node"))).distinct()
     sets = _shingle_sets(docs, nodes.select("node", "_key").join(wanted, "node"))
     # the first links: of the fingerprints, and of each bucket's members with one of them
-    # (the smallest node of all: buckets with the same members have the same one, and their pairs are one pair)
-    pivots = members.groupBy("bucket").agg(F.min_by("x", "x.node").alias("b"))
+    pivots = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "x.node"), "x")).alias("p")).select(
+        "bucket", F.col("p.x").alias("b"))
     spokes = _pairs(members.withColumnRenamed("x", "a").join(saved(pivots), "bucket").filter(
         (F.col("a.node") != F.col("b.node")) & _may_link("a", "b", similarity)))
-    first = saved(_verified(close.unionByName(spokes).distinct(), sets, similarity))
-    components = connected_components(first)
+    components = connected_components(_verified(close.unionByName(spokes).distinct(), sets, similarity))
     own = F.col("x.node")
-    now = saved(members.join(components, own == F.col("node"), "left").select(
-        "bucket", "x", F.coalesce("root", own).alias("root")))
-    more = saved(_rest(now, sets, similarity))
-    if more.take(1):
-        components = connected_components(first.unionByName(more))
-    return marked.join(components, "node", "left").select("doc_id", "_key", F.coalesce("root", "node").alias("group_id"))
+    now = members.join(components, own == F.col("node"), "left").select("bucket", "x", F.coalesce("root", own).alias("root"))
+    more = _rest(now, sets, similarity)
+    # the other links connect components: a small graph whose vertices are their roots
+    for end in ("u", "v"):
+        roots = components.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        more = more.join(roots, end, "left").withColumn(end, F.coalesce(f"{end}_root", end)).drop(f"{end}_root")
+    joined = connected_components(more).select(F.col("node").alias("group_id"), F.col("root").alias("joined"))
+    grouped = marked.join(components, "node", "left").select("doc_id", "_key", F.coalesce("root", "node").alias("group_id"))
+    return grouped.join(joined, "group_id", "left").select("doc_id", "_key", F.coalesce("joined", "group_id").alias("group_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
