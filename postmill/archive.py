@@ -78,8 +78,8 @@ class Archive:
         applied = [version for version, _ in MIGRATIONS if version not in done]
         with self.store.change() as made:
             for version, tables in MIGRATIONS:
-                for name in [t for t in tables if version in applied and t not in present]:
-                    made.append(name, self._rows(name, []))
+                for name in tables if version in applied else ():
+                    made.create(name)
             if applied or "schema_migrations" not in present:
                 fresh = [] if "schema_migrations" in present else [v for v in done if v not in applied]
                 made.append("schema_migrations", self._rows("schema_migrations", [(v, _now()) for v in fresh + applied]))

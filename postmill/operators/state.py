@@ -75,13 +75,17 @@ class Change:
         """The table as this change leaves it so far."""
         return self.store.load(self.tables.get(table, []), schema)
 
+    def create(self, table: str) -> None:
+        """An empty table, unless there is one."""
+        self.tables.setdefault(table, [])
+
     def append(self, table: str, rows: DataFrame) -> None:
-        """Write the new rows only.  Each eight parts of one level at the end are merged into one of the next level."""
-        parts = [*self.tables.get(table, []), self.store.save(table, rows, 0)]
-        while len(tail := parts[-MERGED:]) == MERGED and len({_level(p) for p in tail}) == 1:
-            merged = self.store.load(tail, rows.schema)
-            parts[-MERGED:] = [self.store.save(table, merged, _level(tail[0]) + 1)]
-        self.tables[table] = parts
+        """Write the new rows, with the parts at the end when there are seven of the same level: eight make one of the next."""
+        parts, level = list(self.tables.get(table, [])), 0
+        while len(tail := parts[1 - MERGED:]) == MERGED - 1 and {_level(p) for p in tail} == {level}:
+            rows = rows.unionByName(self.store.load(tail, rows.schema))
+            parts, level = parts[:1 - MERGED], level + 1
+        self.tables[table] = [*parts, self.store.save(table, rows, level)]
 
     def replace(self, table: str, rows: DataFrame) -> None:
         self.tables[table] = [self.store.save(table, rows, 0)]
