@@ -125,11 +125,11 @@ def pack_filenames(spark, sf_dir):
 SELECT doc_id, CASE WHEN length(c) > 130 THEN (CASE WHEN length(ext) BETWEEN 1 AND 10 THEN stem[1:120] || '.' || ext ELSE c[1:120] END)
                     WHEN c = '' THEN 'attachment-' || (doc_id % 3) ELSE c END AS name
 FROM (SELECT doc_id, c, regexp_extract(c, '[^.]*$') AS ext, regexp_replace(c, '\.?[^.]*$', '') AS stem FROM (
-  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text[1:150] || '.text', '[^\pL\pN_.\-]', '_', 'g'),
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text || '.text', '[^\pL\pN_.\-]', '_', 'g'),
     '^[._]+|[._]+$', '', 'g'), '_+', '_', 'g') AS c FROM documents))""")
 def safe_filenames(spark, sf_dir):
     return c.table(spark, sf_dir, "documents").select("doc_id", text.safe_filename(
-        F.concat(F.substring("text", 1, 150), F.lit(".text")), F.col("doc_id") % 3).alias("name"))
+        F.concat("text", F.lit(".text")), F.col("doc_id") % 3).alias("name"))
 
 
 @query("""
@@ -636,11 +636,14 @@ hits AS (SELECT i.*, r.* FROM inputs i JOIN outcomes r ON r.rule = {c.sql_rule('
 
 @query("WITH " + SQL_THREADS + """
 SELECT account_key, thread_key, category_path, export_profile, classifier_type, confidence, 'rules-v1' AS prompt_version,
-       'Thread classified by rule: ' || rule AS summary, message_count FROM hits""")
+       'Thread classified by rule: ' || rule AS summary, message_count FROM hits h
+WHERE NOT EXISTS (SELECT 1 FROM messages d WHERE d.id % 11 = 0 AND d.account_key = h.account_key AND d.thread_key = h.thread_key)""")
 def classify_thread(spark, sf_dir):
+    """Threads of some messages have a rule row already and are left out."""
     rows = c.messages(spark, sf_dir)
-    none = c.classifications(spark, sf_dir).withColumn("thread_key", F.lit(None).cast("string"))
-    found = classify.thread_rows(classify.match_threads(rows, none, c.RULES))
+    known = rows.filter("id % 11 = 0").select(
+        "account_key", "thread_key", F.lit("thread").alias("target_type"), F.lit("rule_hint").alias("classifier_type"))
+    found = classify.thread_rows(classify.match_threads(rows, known, c.RULES))
     return found.select("account_key", "thread_key", "category_path", "export_profile", "classifier_type", "confidence",
                         "prompt_version", "summary",
                         F.get_json_object("raw_output_json", "$.message_count").cast("long").alias("message_count"))
@@ -663,12 +666,12 @@ def inherited_rows(spark, sf_dir):
 
 @query("""
 SELECT DISTINCT 'source-topics/' || """ + slug_sql("source") + """ AS path, 'source-topics' AS parent_path,
-       upper(""" + slug_sql("source") + """[1:1]) || """ + slug_sql("source") + """[2:] AS display_name FROM documents""")
+       upper(""" + slug_sql("source") + """[1:1]) || """ + slug_sql("source") + """[2:] AS display_name FROM documents WHERE source NOT IN ('src1', 'src2')""")
 def seeded_categories(spark, sf_dir):
-    """Categories of the sources, as if configured, that are not known yet (none is)."""
+    """Categories of the sources, as if configured, that are not known yet (two are)."""
     path = text.category_path(F.concat(F.lit("Source Topics//"), F.col("source")))
     rows = c.table(spark, sf_dir, "documents").select(path.alias("path"), F.lit(None).cast("string").alias("account_key")).distinct()
-    new = taxonomy.seed(rows.limit(0), rows)
+    new = taxonomy.seed(rows.filter(F.col("path").isin("source-topics/src1", "source-topics/src2")), rows)
     return new.select("path", text.parent_path(F.col("path")).alias("parent_path"), text.display_name(F.col("path")).alias("display_name"))
 
 
