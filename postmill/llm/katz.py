@@ -15,7 +15,6 @@ counts of counts do not allow Good-Turing estimates falls back to absolute disco
 
 from __future__ import annotations
 
-import math
 import pickle
 from collections.abc import Iterable, Iterator
 
@@ -31,6 +30,8 @@ from postmill.llm.common import partitions, small_batches
 K = 5
 #: Tokens of one block.
 BLOCK_TOKENS = 1_000_000
+#: Logarithms are rounded to 1 / ``STEPS``, so sums over tokens are exact and do not depend on their order.
+STEPS = 1e7
 #: Contexts with at least this share of the tokens are dealt over the buckets.  One document in ``HOT_SAMPLE`` is
 #: counted to find them; which ones are found decides where they are processed, and no result.
 HOT_SHARE, HOT_SAMPLE = 1 / 512, 64
@@ -72,7 +73,7 @@ class Model:
         if unknown < least:  # nothing was discounted: make room for unknown words
             self.scale, unknown = (1 - least) / (1 - unknown) if unknown < 1 else 1.0, least
         self.unknown = unknown
-        self.base = math.log10(self.tokens + 0.5 * (self.types + 1))
+        self.base = self.tokens + 0.5 * (self.types + 1)
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         """Probability of words with these counts (0: of the unknown word)."""
@@ -335,7 +336,7 @@ def _score(model: Model):
             pieces = [Piece(x[1]) for x in kinds["piece"]]
             bucket = Bucket(pieces, model.hot)
             logs, counts = bucket.probabilities(model, _answered(kinds))
-            own = np.log10(counts + 0.5) - model.base
+            own, logs = np.rint(np.log10((counts + 0.5) / model.base) * STEPS), np.rint(logs * STEPS)
             at = 0
             for (block, _), piece in zip(kinds["piece"], pieces, strict=True):
                 group = np.repeat(bucket.group[at:at + len(piece.n)], piece.n)
@@ -357,7 +358,7 @@ def _rows(tokens: int):
                     base[some] += b
                     score[some] += s
                     known[some] += k
-                for i, n, k, b, s in zip(ids, counts, known.tolist(), base.tolist(), score.tolist(), strict=True):
+                for i, n, k, b, s in zip(ids, counts, known.tolist(), (base / STEPS).tolist(), (score / STEPS).tolist(), strict=True):
                     yield i, n, k, tokens, b, s
     return run
 
@@ -377,8 +378,8 @@ def score_documents(docs: DataFrame, train: str = "train") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text, ``train``).
 
     Rows whose ``train`` is true are learned from; null is false.  Null text counts as empty and has one token, the
-    end.  base_score is the add-half unigram score, score the model's log10 probability of the text; an unknown word
-    has the probability of all unknown words.  Repeated rows count and are scored each; other columns are not read;
+    end.  base_score is the add-half unigram score, score the model's log10 probability of the text, each a sum of
+    logarithms to seven places; an unknown word has the probability of all unknown words.  Repeated rows count and are scored each; other columns are not read;
     an empty table gives an empty result.
     """
     import pyarrow as pa

@@ -127,6 +127,46 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(1), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def _discounts_sql(counts: str) -> str:
+    """(r, d) for r = 1..5 from the counts of counts of a table with a column c."""
+    n = ", ".join(f"count(*) FILTER (WHERE c = {r})::DOUBLE" for r in range(1, 7))
+    return f"""SELECT r, CASE WHEN good > 0 AND good <= 1 THEN good ELSE 1 - a / r END AS d FROM (
+      SELECT r, CASE WHEN n[r] > 0 AND tail < 1 THEN ((r + 1) * n[r + 1] / (n[r] * r) - tail) / (1 - tail) ELSE -1 END AS good,
+             CASE WHEN n[1] > 0 AND n[2] > 0 THEN n[1] / (n[1] + 2 * n[2]) ELSE 0.5 END AS a FROM (
+        SELECT n, CASE WHEN n[1] > 0 THEN 6 * n[6] / n[1] ELSE 0 END AS tail FROM (SELECT [{n}] AS n FROM {counts} WHERE c > 0)),
+        (SELECT unnest(range(1, 6))::INT AS r))"""
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+    4294967295)"""
+#: The end of a document is the empty word, which is also before the first one.
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce({_CRC} % 5 = 1, false) AS held_out,
+                  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), '') AS w
+           FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS b, unnest(list_prepend('', w)[1:len(w)]) AS a FROM d),
+uni AS (SELECT b AS w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+bi AS (SELECT a, b, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1, 2),
+d1 AS ({_discounts_sql('uni')}),
+d2 AS ({_discounts_sql('bi')}),
+total AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v, 1 / (coalesce(sum(c), 0) + 1.0) AS least,
+                 CASE WHEN sum(c) > 0 THEN coalesce(sum((1 - d) * c), 0)::DOUBLE / sum(c) ELSE 1.0 END AS lost FROM uni LEFT JOIN d1 ON r = c),
+model AS (SELECT *, greatest(lost, least) AS unknown, CASE WHEN lost < least AND lost < 1 THEN (1 - least) / (1 - lost) ELSE 1.0 END AS scale FROM total),
+p1 AS (SELECT w, c, scale * coalesce(d, 1.0) * c / n AS p FROM uni LEFT JOIN d1 ON r = c, model),
+seen AS (SELECT a, b, coalesce(d, 1.0) * bi.c / u.c AS p, l.p AS lower, u.c AS c1 FROM bi LEFT JOIN d2 ON r = bi.c
+         JOIN uni u ON u.w = a JOIN p1 l ON l.w = b),
+ctx AS (SELECT a, c1, sum(p) AS mass, greatest(1 - sum(p), 1 / (c1 + 1.0)) AS remain, 1 - sum(lower) AS rest FROM seen GROUP BY 1, 2),
+scored AS (
+  SELECT t.doc_id, t.held_out, u.c, round(log10((coalesce(u.c, 0) + 0.5) / (n + 0.5 * (v + 1))) * 1e7)::BIGINT AS base,
+         round(log10(CASE WHEN s.b IS NOT NULL THEN s.p * ((1 - x.remain) / x.mass)
+                          WHEN x.a IS NOT NULL THEN x.remain / greatest(x.rest, 1e-300) * coalesce(u.p, unknown) ELSE coalesce(u.p, unknown) END) * 1e7)::BIGINT AS p
+  FROM t CROSS JOIN model LEFT JOIN p1 u ON u.w = t.b LEFT JOIN ctx x ON x.a = t.a LEFT JOIN seen s ON s.a = t.a AND s.b = t.b)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, sum(base) / 1e7 AS base_score, sum(p) / 1e7 AS score
+FROM scored, model GROUP BY 1, 2
+"""
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -143,4 +183,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
     "op7_secrets": OP7_SQL,
+    "op10_katz": OP10_SQL,
 }
