@@ -24,8 +24,9 @@ from postmill.session import saved
 GROUP = ["account_key", "category", "band"]
 #: What the statistics of packs need of a record; it travels through the packing, so records are rendered once.
 CARRIED = ["thread_key", "date_utc", "was_scrubbed", "chunk_words", "chunk_bytes"]
-#: Rows of a group that one task packs.
-CHUNK = 200_000
+#: Rows of a group that one task packs, at least, and chunks of a group, at most: larger groups have larger chunks, so
+#: the tables that link them stay small.
+CHUNK, MOST_CHUNKS = 200_000, 2_000
 
 
 def classified(messages: DataFrame, classifications: DataFrame) -> DataFrame:
@@ -110,11 +111,11 @@ def assign_packs(rows: DataFrame, limits: PackLimits, chunk: int = CHUNK) -> Dat
     part = F.struct("_source", "category_path", day_of().alias("day"))
     # rendering and redaction run once, for these narrow rows, however often they are read below
     narrow = saved(rows.select("_source", "id", "category_path", *GROUP, *CARRIED))
-    at = F.col("_rank") - 1
+    at, size = F.col("_rank") - 1, F.greatest(F.lit(chunk), F.ceil(F.col("_count") / MOST_CHUNKS))
     placed = saved(ranked(narrow, GROUP, order, part).select(
-        "_source", "id", "category_path", *GROUP, *CARRIED, at.alias("at"),
-        F.floor(at / chunk).alias("part")))
-    near = (F.col("part") > 0) & (F.col("at") % chunk < reach)
+        "_source", "id", "category_path", *GROUP, *CARRIED, at.alias("at"), F.floor(at / size).alias("part"),
+        (at % size < reach).alias("_near")))
+    near = (F.col("part") > 0) & F.col("_near")
     dealt = placed.withColumn("task", F.explode(F.when(
         near, F.array("part", F.col("part") - 1)).otherwise(F.array("part"))))
 
