@@ -11,20 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import saved
+from postmill.llm.common import partitions, saved
 
 ROUNDS = 100
+#: Rows of one partition of a step; a small graph is not dealt over more partitions than it has use for.
+ROWS = 100_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(parts))
+    moved = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.coalesce(parts)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = saved(edges.groupBy("u").agg(F.min("v").alias("m")))
-    moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
+    least = saved(edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts))
+    moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -35,9 +38,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     only such edges is not in the result.
     """
     edges = saved(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
+    # steps have at most twice the rows of the edges, and never more
+    parts = max(1, min(2 * partitions(edges.sparkSession), -(-edges.count() // ROWS)))
+    edges, mark = edges.coalesce(parts), None
     for _ in range(ROUNDS):
-        edges = saved(_small_star(_large_star(edges)))
+        edges = saved(_small_star(_large_star(edges, parts), parts).coalesce(parts))
         row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == (row["n"], row["h"]) or not row["n"]:
             break
