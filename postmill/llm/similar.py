@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.llm import simhash
-from postmill.llm.common import map_texts, saved, span_of
+from postmill.llm.common import map_texts, partitions, saved, span_of
 from postmill.llm.components import connected_components
 
 SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
@@ -148,7 +148,9 @@ def _rest(now: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     blocked = a.join(b, (a["bucket"] == b["bucket"]) & (a["i"] == b["i"]) & (a["j"] == b["j"])
                      & (F.col("root") < F.col("other")) & ((F.col("oa") != F.col("ob")) | (a["i"] == a["j"]))
                      & _may_link("a", "b", similarity) & _alike(F.col("sa"), F.col("sb"), similarity))
-    return _verified(pairs, sets, similarity).unionByName(_pairs(blocked))
+    # a skewed join may be split into very many pieces, whose results are few links
+    few = blocked.select("a", "b").coalesce(4 * partitions(now.sparkSession))
+    return _verified(pairs, sets, similarity).unionByName(_pairs(few))
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
