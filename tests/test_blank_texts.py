@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = Path("/root/testdata/sf0.001")
-NAMES = ["category_paths", "mbox_ingest", "mime_decode", "msg_normalized"]
+NAMES = ["category_paths", "mbox_ingest", "mime_decode", "msg_normalized", "thread_input"]
 
 pytestmark = pytest.mark.skipif(not SF.is_dir(), reason="no test tables")
 
