@@ -57,23 +57,34 @@ def slots_of(kept: Column, wide: Column) -> Column:
 
 def wide_slots(found: Column) -> Column:
     """array<int> of SLOTS hashes from all distinct terms of a text: the subsets of one repeat stand in for all."""
-    slots = _hashed(F.transform(found, short), 1)
-    rest = F.slice(slots, 2, len(RATES))
-    return F.concat(F.slice(slots, 1, 1), *[rest] * REPEATS)
+    return once(_hashed(F.transform(found, short), 1), lambda slots: F.concat(
+        F.slice(slots, 1, 1), *[F.slice(slots, 2, len(RATES))] * REPEATS))
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` bound to a variable: Spark would compute it again wherever a lambda names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _hashed(kept: Column, repeats: int) -> Column:
     """Hashes of the whole set and of its subsets at all rates for each repeat."""
-    marked = F.transform(F.array_sort(F.array_distinct(kept)), lambda t: F.struct(
+    marked = F.transform(F.sort_array(F.array_distinct(kept)), lambda t: F.struct(
         t.alias("term"), F.xxhash64(t).alias("h")))
 
-    def chosen(repeat: int, rate: int):
-        return lambda t: F.shiftrightunsigned(t["h"], BITS * repeat).bitwiseAND(F.lit((1 << BITS) - 1)) < (1 << BITS >> rate)
+    def slot(terms_of: Column) -> Column:
+        return F.when(F.size(terms_of) == 0, F.lit(0)).otherwise(short(F.xxhash64(terms_of)))
+
+    def nested(every: Column, repeat: int) -> Column:  # each subset lies in the one at the rate before
+        def step(acc: Column, below: Column) -> Column:
+            part = F.filter(acc["left"], lambda t: F.shiftrightunsigned(t["h"], BITS * repeat).bitwiseAND(
+                F.lit((1 << BITS) - 1)) < below)
+            return once(part, lambda p: F.struct(p.alias("left"), F.array_append(acc["out"], slot(p)).alias("out")))
+
+        none = F.array().cast("array<int>")
+        return F.aggregate(F.array(*[F.lit(1 << BITS >> r) for r in RATES]),
+                           F.struct(every.alias("left"), none.alias("out")), step, lambda acc: acc["out"])
 
-    subsets = [marked, *[F.filter(marked, chosen(q, r)) for q in range(repeats) for r in RATES]]
-    empty = F.xxhash64(F.array().cast("array<struct<term:int,h:bigint>>"))
-    return F.transform(F.transform(F.array(*subsets), lambda s: F.xxhash64(s)), lambda h: F.when(
-        h == empty, F.lit(0)).otherwise(short(h)))
+    return once(marked, lambda every: F.concat(F.array(slot(every)), *[nested(every, q) for q in range(repeats)]))
 
 
 def short(h: Column) -> Column:

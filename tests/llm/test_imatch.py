@@ -150,3 +150,10 @@ def test_fingerprints_by_the_book(spark, monkeypatch, most):
     assert set(got) == set(want)
     for i in want:
         assert got[i][:2] == want[i][:2] and got[i][2:] == pytest.approx(want[i][2:]), i
+
+
+def test_terms_are_sorted_once_for_all_slots(spark):
+    rows = spark.createDataFrame([([1, 2],)], "t array<long>")
+    for slots in (imatch.wide_slots(F.col("t")), imatch.slots_of(F.col("t").cast("array<int>"), F.lit(None).cast("array<int>"))):
+        plan = rows.select(slots.alias("s"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("array_distinct(") == 1 and plan.count("shiftrightunsigned(") <= REPEATS
