@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from postmill.functions.mime import parse_message, record_columns
+from postmill.functions.mime import record_columns, with_parsed
 from postmill.operators.state import absent
 from postmill.sources.mbox import read_mbox
 
@@ -18,7 +18,7 @@ KEYS = ["path", "mbox_key"]
 
 def parsed(raw: DataFrame) -> DataFrame:
     """Records of raw messages (path, mbox_key, raw); broken ones are left out."""
-    rows = raw.withColumn("m", parse_message("raw")).filter("m.error_type IS NULL")
+    rows = with_parsed(raw).filter("m.error_type IS NULL")
     return rows.select(*KEYS, *[v.alias(k) for k, v in record_columns().items() if k != "raw_headers"])
 
 

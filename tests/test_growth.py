@@ -1,5 +1,7 @@
 """Steps whose cost must follow the input: bodies are not shuffled where their keys are enough."""
 
+from pyspark.sql import functions as F
+
 from postmill.archive import Archive
 from postmill.operators import exports, threads
 from postmill.plans import catalog
@@ -82,3 +84,29 @@ def test_threads_are_selected_without_bodies(spark):
 
     found = threads.thread_inputs(rows, ["account_key", "thread_key"], kept).collect()
     assert [(r.thread_key, r.excerpts) for r in found] == [("u", ["two"])] and "body_text" not in seen
+
+
+def test_few_messages_cross_to_python_at_once(spark):
+    """Batches are bounded by rows and by bytes, whatever a task holds."""
+    from postmill.functions import mime
+
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    found = [spark.conf.get(names[0]), spark.conf.get(names[1], str(64 << 20))]
+    seen = spark.sparkContext.accumulator(0)
+
+    def sizes(batches):
+        for batch in batches:
+            raw = batch.column("raw")
+            assert len(raw) <= mime.BATCH_ROWS and sum(map(len, raw.to_pylist()[:-1])) <= mime.BATCH_BYTES
+            seen.add(len(raw))
+            yield batch.select(["raw"])
+
+    try:
+        for n, size in ((2000, 10), (40, 1 << 20)):
+            rows = spark.range(n, numPartitions=1).select(F.repeat(F.lit("x"), size).cast("binary").alias("raw"))
+            assert mime.with_parsed(rows).filter("m.error_type IS NULL").count() == n
+            rows.mapInArrow(sizes, "raw binary").count()
+        assert seen.value == 2040
+    finally:
+        for name, value in zip(names, found, strict=True):
+            spark.conf.set(name, value)
