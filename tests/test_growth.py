@@ -110,3 +110,20 @@ def test_few_messages_cross_to_python_at_once(spark):
     finally:
         for name, value in zip(names, found, strict=True):
             spark.conf.set(name, value)
+
+
+def test_an_ingest_parses_in_bounded_batches(spark, tmp_path):
+    from postmill.functions import mime
+
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    found = [spark.conf.get(names[0]), spark.conf.get(names[1], str(64 << 20))]
+    try:
+        for name, value in zip(names, ("10000", str(64 << 20)), strict=True):
+            spark.conf.set(name, value)
+        archive = Archive(spark, f"{tmp_path}/a")
+        archive.initialize()
+        assert archive.ingest(mailbox(tmp_path / "a.mbox", 3), "me", create=True)["inserted"] == 3
+        assert [spark.conf.get(n) for n in names] == [str(mime.BATCH_ROWS), str(mime.BATCH_BYTES)]
+    finally:
+        for name, value in zip(names, found, strict=True):
+            spark.conf.set(name, value)
