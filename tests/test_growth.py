@@ -127,3 +127,38 @@ def test_an_ingest_parses_in_bounded_batches(spark, tmp_path):
     finally:
         for name, value in zip(names, found, strict=True):
             spark.conf.set(name, value)
+
+
+def test_long_lines_and_files_cross_in_small_batches_after_short_ones(spark, tmp_path, monkeypatch):
+    from postmill import session
+    from postmill.sources import sinks
+
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    found = [spark.conf.get(names[0]), spark.conf.get(names[1], str(64 << 20))]
+    each, most, seen = sinks._each_partition, (session.BATCH_ROWS, session.BATCH_BYTES), spark.sparkContext.accumulator(0)
+
+    def checked(batches):
+        for batch in batches:
+            sizes = [len(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            assert len(sizes) <= most[0] and sum(sizes[:-1]) <= most[1]
+            seen.add(len(sizes))
+            yield batch
+
+    monkeypatch.setattr(sinks, "_each_partition", lambda rows, run: each(rows, lambda batches: run(checked(batches))))
+    try:
+        for name, value in zip(names, ("10000", str(64 << 20)), strict=True):
+            spark.conf.set(name, value)
+        text = F.concat(F.col("id").cast("string"), F.repeat(F.lit("ü"), F.when(F.col("id") < 2000, 1).otherwise(50_000).cast("int")))
+        lines = spark.range(2200, numPartitions=3).select("id", text.alias("line"))
+        expected = [f"{i}{'ü' * (1 if i < 2000 else 50_000)}" for i in range(2200)]
+        size = sinks.write_lines(lines, "line", [F.col("id")], f"{tmp_path}/x.jsonl")
+        assert (tmp_path / "x.jsonl").read_bytes() == "".join(x + "\n" for x in expected).encode()
+        assert size == (tmp_path / "x.jsonl").stat().st_size
+        assert sinks.write_lines(lines.limit(0), "line", [F.col("id")], f"{tmp_path}/none.jsonl") == 0
+        files = lines.filter("id > 1900").coalesce(1).select(F.format_string(f"{tmp_path}/f/%s.md", "id").alias("path"), "line")
+        sinks.write_files(files, "path", "line")
+        assert {int(p.stem): p.read_text("utf-8") for p in (tmp_path / "f").glob("*.md")} == dict(enumerate(expected[1901:], 1901))
+        assert seen.value == 2200 + 299
+    finally:
+        for name, value in zip(names, found, strict=True):
+            spark.conf.set(name, value)
